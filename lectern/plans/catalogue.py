@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+FAMILIES = ("text", "screening", "timelines", "matches", "flows")
+
+
+def _modules():
+    return [importlib.import_module(f"lectern.plans.{name}") for name in FAMILIES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: q for m in _modules() for name, q in m.SQL.items()}
