@@ -6,7 +6,10 @@ same small job for any input. Pieces find their places by their rank within thei
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +20,17 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 LENGTH = 2048
-WORDS_KEPT = 400_000  # words whose ids a worker remembers; it starts anew beyond that
+WORDS_KEPT = 300_000  # words whose ids a worker remembers, and parts of words; it starts anew beyond that
+PARTS_KEPT = 800_000
+#: letters followed by marks: the tokenizer cuts between them. Apostrophes and digits are left to it.
+PARTS = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
 
 
 class Ids:
     """Token ids of texts, each followed by id 0, as little-endian unsigned 32-bit bytes.
 
     The tokenizer's steps never reach across white space, so texts are cut at spaces, tabs and line ends
-    and each distinct word is tokenised once.
+    and each distinct word is tokenised once; of words with marks at their end, letters and marks apart.
     """
 
     _loaded: dict[str, Ids] = {}
@@ -33,7 +39,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -41,17 +48,34 @@ class Ids:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def encode(self, texts: list) -> list[bytes]:
-        kept = self.kept
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(kept))
+    @staticmethod
+    def folded(text: str) -> str:
+        """Lower case where the tokenizer's own steps, which compose and then lower each character, give the same."""
+        if text.isascii() or unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:
+            return text.lower()
+        return text
+
+    def _learn(self, words: list[str]) -> None:
+        split = [(m[1], m[2]) if (m := PARTS.fullmatch(w)) else (w,) for w in words]
+        parts = self.parts
+        if len(parts) > PARTS_KEPT:
+            parts.clear()
+        new = list({p for s in split for p in s}.difference(parts))
         for s in range(0, len(new), 20_000):
             part = new[s : s + 20_000]
-            kept.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            parts.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        self.words.update((w, parts[s[0]] if len(s) == 1 else parts[s[0]] + parts[s[1]]) for w, s in zip(words, split, strict=True))
+
+    def encode(self, texts: list) -> list[bytes]:
+        words = self.words
+        if len(words) > WORDS_KEPT:
+            words.clear()
+        split = [self.folded(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = list(set().union(*split).difference(words))
+        if new:
+            self._learn(new)
         end = b"\0\0\0\0"
-        return [b"".join([kept[w] for w in words]) + end for words in split]
+        return [b"".join([words[w] for w in s]) + end for s in split]
 
 
 def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:
