@@ -66,7 +66,7 @@ def ascii_snippet(spark, d):
 
 
 def ctc_collapse(spark, d):
-    ids = F.transform(F.split(F.left("text", F.lit(400)), ""), lambda c: F.ascii(c) % 29)
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 29)
     return A.table(spark, d, "benchmark").select("item_id", T.ctc_collapse(ids).alias("text"))
 
 
@@ -161,7 +161,7 @@ SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER
   try_cast(regexp_extract(string_split(url, '/')[-1], '(\d+)', 1) AS BIGINT) AS number FROM pages""",
     "ascii_snippet": r"SELECT doc_id, left(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 150) AS snippet, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::BIGINT AS n_words FROM documents",
     "ctc_collapse": r"""
-WITH i AS (SELECT item_id, list_transform(string_split(left(text, 400), ''), lambda c: ascii(c) % 29) AS ids FROM benchmark),
+WITH i AS (SELECT item_id, list_transform(string_split(text, ''), lambda c: ascii(c) % 29) AS ids FROM benchmark),
 k AS (SELECT item_id, list_filter(list_transform(range(1, len(ids) + 1), lambda j: CASE WHEN ids[j] <> 0 AND (j = 1 OR ids[j] <> ids[j - 1]) THEN substr('-|etaonihsrdlumwcfgypbvk''xjqz', (ids[j] + 1)::BIGINT, 1) END), lambda x: x IS NOT NULL) AS cs FROM i)
 SELECT item_id, lower(trim(replace(array_to_string(cs, ''), '|', ' '))) AS text FROM k""",
     "page_title": rf"""
