@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
+    """A bitmap of hashed ids, of fixed size whatever the number of ids: one false hit in many, never a miss.
+
+    It is put together in parts by the executors; the driver gets ``bits`` / 8 bytes at most.
+    """
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    parts = ids.select((at + 1).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_m"))
+    size = 32768  # bits of one part
+    out = np.zeros(bits // 8 + size // 8, np.uint8)
+    for r in parts.collect():
+        start = (r["_k"] - 1) * size // 8  # buckets count from 1, as all positions are above 0
+        out[start : start + len(r["_m"])] |= np.frombuffer(bytes(r["_m"]), np.uint8)
+    return out
+
+
+def hit(own: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places (pmod of the hashed ids) are set."""
+    return (own[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
 
 
 @atexit.register

@@ -7,8 +7,8 @@ none is a prefix of another, so equal strings always lie at equal places of phra
 
 Suffixes are put in the order of (trigger, phrase fingerprint, document, place) by one distributed sort: that
 brings all occurrences of equal phrases together, earliest first. A phrase whose trigger has no other phrase
-is decided as a whole. Only where one trigger has several phrases are the 100-byte strings inside sorted the
-same way one by one. No order between different strings is needed for the result, so fingerprints stand in
+is decided as a whole. Only where one trigger has several phrases are the 100-byte strings inside them sorted the
+same way one by one, trigger by trigger. No order between different strings is needed for the result, so fingerprints stand in
 for their letters.
 """
 
@@ -28,6 +28,7 @@ TRIGGER = 32  # bytes of the rolling hash
 STARTS = LENGTH - TRIGGER + 1  # triggers in a string
 BLOCK = 1 << 18  # bytes that are parsed at once
 LONGEST = 1 << 22  # longer texts are parsed in parts of so many strings
+GROUP = 8192  # phrases of one trigger that one task compares
 PHRASE, MARK, DETAIL = 0, 1, 2
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -233,31 +234,99 @@ def _decide(rows: DataFrame, detail: bool) -> DataFrame:
     return sorted_rows.sortWithinPartitions("a", "b", "doc_id", "start").mapInArrow(run, FIELDS)
 
 
-def _strings(detail: DataFrame, documents: DataFrame) -> DataFrame:
-    """The strings inside phrases that share their trigger with others, as (trigger, string) rows."""
+def _contexts(detail: DataFrame, texts: DataFrame) -> DataFrame:
+    """(trigger, doc_id, start, bytes) of phrases that share their trigger with others."""
     asked = detail.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "a")).alias("asked"))  # at most the text's phrases
-    source = documents.join(asked, "doc_id").select("doc_id", "text", F.col("asked.start").alias("s"), F.col("asked.count").alias("c"), F.col("asked.a").alias("a"))
+    source = texts.join(asked, "doc_id").select("doc_id", "text", F.col("asked.start").alias("s"), F.col("asked.count").alias("c"), F.col("asked.a").alias("a"))
 
     def run(batches):
         for batch in batches:
-            found = []
+            rows: list[tuple] = []
             for doc, value, s, c, a in zip(*(batch.column(k) for k in range(5)), strict=True):
-                data = value.as_py().encode("utf-8", "surrogatepass")
-                s, c, a = np.array(s.values), np.array(c.values), np.array(a.values)
-                of = np.repeat(np.arange(len(s)), c)
-                start = np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c) + s[of]
-                if len(data) <= LONGEST:
-                    b = Hashes(np.frombuffer(data, np.uint8)).of(start, start + LENGTH)
-                else:  # phrase by phrase
-                    b = np.concatenate([Hashes(np.frombuffer(data[x : x + y + LENGTH - 1], np.uint8)).of(np.arange(y), np.arange(y) + LENGTH) for x, y in zip(s.tolist(), c.tolist(), strict=True)])
-                found.append((a[of], b.astype(np.int64), np.full(len(of), doc.as_py(), np.int64), start, np.ones(len(of), np.int64)))
-                if sum(len(x[0]) for x in found) > 1_000_000:
-                    yield from _local(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                    found = []
-            if found:
-                yield from _local(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                data, doc = value.as_py().encode("utf-8", "surrogatepass"), doc.as_py()
+                rows += [(t, doc, x, data[x : x + y + LENGTH - 1]) for t, x, y in zip(a.as_py(), s.as_py(), c.as_py(), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "doc_id", "start", "bytes"])
+
+    return source.mapInArrow(run, "a long, doc_id long, start long, bytes binary")
 
-    return source.mapInArrow(run, FIELDS)
+
+def _resolve(contexts: DataFrame) -> DataFrame:
+    """Marks for strings that repeat among the phrases of one trigger.
+
+    Groups are compared in blocks. Those of more than GROUP phrases go on as single strings, to be dealt by
+    their own fingerprints.
+    """
+
+    def strings(rows):
+        a, doc, start, data = rows
+        size = np.array([len(x) for x in data], np.int64)
+        count = size - LENGTH + 1
+        of = np.repeat(np.arange(len(size)), count)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.cumsum(size) - size, count) + step
+        b = Hashes(np.frombuffer(b"".join(data), np.uint8)).of(at, at + LENGTH).astype(np.int64)
+        return a[of], b, doc[of], start[of] + step
+
+    def finish(rows):
+        a, b, doc, start = strings(rows)
+        order, later, _ = _later(a, b, doc, start)
+        out = order[later]
+        if len(out):
+            doc, start, count = _joined(doc[out], start[out], np.ones(len(out), np.int64))
+            yield _rows(MARK, np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), doc, start, count)
+
+    def spill(rows):
+        for s in range(0, len(rows[0]), GROUP):
+            a, b, doc, start = strings([x[s : s + GROUP] for x in rows])
+            yield from _local(a, b, doc, start, np.ones(len(a), np.int64))
+
+    def run(batches):
+        kept, large = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, object)], None
+        for batch in batches:
+            new = [np.array(batch.column(k)) for k in range(3)] + [np.array(batch.column(3).to_pylist(), object)]
+            rows = [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            if not len(rows[0]):
+                continue
+            if large is not None:
+                n = int(np.searchsorted(rows[0] != large, True)) if (rows[0] != large).any() else len(rows[0])
+                yield from spill([x[:n] for x in rows])
+                rows = [x[n:] for x in rows]
+                if not len(rows[0]):
+                    kept = rows
+                    continue
+                large = None
+            last = rows[0] == rows[0][-1]
+            cut = len(last) - int(last.sum())
+            for s in range(0, cut, 4 * GROUP):  # whole groups of up to a batch at a time
+                yield from _blocks([x[:cut] for x in rows], s, finish, spill)
+            kept = [x[cut:] for x in rows]
+            if len(kept[0]) > GROUP:
+                large = kept[0][0]
+                yield from spill(kept)
+                kept = [x[:0] for x in kept]
+        if len(kept[0]):
+            yield from finish(kept)
+
+    return contexts.repartition("a").sortWithinPartitions("a", "doc_id", "start").mapInArrow(run, FIELDS)
+
+
+def _blocks(rows, s, finish, spill):
+    """The groups that begin among the rows from ``s`` on, within one block."""
+    a = rows[0]
+    start = s if s == 0 else s + int(np.argmax(np.append(a[s:] != a[s - 1], True)))
+    end = min(s + 4 * GROUP, len(a))
+    if start >= end:
+        return
+    stop = end + (int(np.argmax(np.append(a[end:] != a[end - 1], True))) if end < len(a) else 0)
+    own = [x[start:stop] for x in rows]
+    cut = np.flatnonzero(np.append(True, own[0][1:] != own[0][:-1]))
+    size = np.diff(np.append(cut, len(own[0])))
+    small = np.repeat(size <= GROUP, size)
+    if small.any():
+        yield from finish([x[small] for x in own])
+    if not small.all():
+        yield from spill([x[~small] for x in own])
 
 
 def repeated(documents: DataFrame) -> DataFrame:
@@ -267,8 +336,10 @@ def repeated(documents: DataFrame) -> DataFrame:
     """
     usable = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     parsed = common.written(_decide(_phrases(usable), True), "phrases")
-    strings = _decide(_strings(parsed.where(F.col("kind") == DETAIL), usable), False)
-    return parsed.where(F.col("kind") == MARK).union(strings).select("doc_id", "start", "count")
+    within = _resolve(_contexts(parsed.where(F.col("kind") == DETAIL), usable))
+    within = common.written(within, "strings")
+    rest = _decide(within.where(F.col("kind") == PHRASE), False)
+    return parsed.where(F.col("kind") == MARK).union(within.where(F.col("kind") == MARK)).union(rest).select("doc_id", "start", "count")
 
 
 def kept(data: bytes, start: np.ndarray, count: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -283,7 +354,9 @@ def kept(data: bytes, start: np.ndarray, count: np.ndarray) -> tuple[bytes, np.n
 
 def _with_runs(documents: DataFrame) -> DataFrame:
     runs = repeated(documents).groupBy("doc_id").agg(F.collect_list("start").alias("_starts"), F.collect_list("count").alias("_counts"))
-    return documents.join(runs, "doc_id", "left")
+    known = documents.where(F.col("doc_id").isNotNull()).join(runs, "doc_id", "left")
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("_starts",)] + [F.lit(None).cast("array<int>").alias("_counts")]
+    return known.unionByName(documents.where(F.col("doc_id").isNull()).select("*", *none))
 
 
 def removed(documents: DataFrame) -> DataFrame:
