@@ -5,9 +5,10 @@ representative. Two representatives that are similar enough share some of their
 with prefixes extended by m tokens, at least m + 1. A rare shared token is indexed alone. If all are frequent,
 two of the m + 1 fall into one of m groups, and that pair of tokens is indexed instead. Documents that meet
 under a key are compared by size and by parity bitmaps, whose distance never exceeds that of the sets, so that
-no link is lost; what passes is verified on whole sets. Two rounds keep hot groups small: the first links each
-document with its most connected likely partner, the second takes the pairs that are still in different
-components.
+no link is lost; what passes is verified on whole sets. Two rounds keep groups of near copies small. The first
+looks at a few tokens of each document and verifies it with its most connected likely partner only. The second
+looks at all tokens, but only at keys whose documents are still in different components, and verifies all pairs
+across components there.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from lectern.llm import common
 
 FREQUENT = 4096  # documents from which on a token counts as frequent
 GROUP = 128  # tokens of a document for each group of token pairs
-BITS = 1024  # of a parity bitmap
+BITS = 512  # of a parity bitmap
 BLOCK = 2048  # documents of one key that are compared with as many others in one task
 NEAR = 24  # smaller keys are compared by shifting, without a matrix
+SOON = 6  # shared tokens of a document that the first round looks at
 TEXT = 3_000_000  # characters that are split at once
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +107,22 @@ def _groups(n: np.ndarray | int):
 
 def _parity(own: np.ndarray) -> bytes:
     """For each of BITS places the parity of the tokens there."""
-    return np.packbits(np.bincount((own >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes() if len(own) else b"\0" * (BITS // 8)
+    return np.packbits(np.bincount((own >> np.uint64(9)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes() if len(own) else b"\0" * (BITS // 8)
+
+
+def _wide(own: np.ndarray) -> bytes:
+    """The same over two to four places a token, for the last look at a pair before whole sets travel."""
+    bits = BITS << max(0, int(np.ceil(np.log2(max(2 * len(own), 1) / BITS))))
+    return np.packbits(np.bincount((own >> np.uint64(9)).astype(np.int64) % bits, minlength=bits) & 1).tobytes() if len(own) else b""
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The distance of two bitmaps; the larger one is folded to the smaller one's size."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _signed(x) -> int:
@@ -149,20 +166,22 @@ def sets_table(documents: DataFrame, rule: Rule) -> DataFrame:
                     pa.array([_signed(_mix(x).sum()) if len(x) else 0 for x in sets], pa.int64()),
                     pa.array([_signed((_mix(x ^ _MUL) * _MUL).sum()) if len(x) else 0 for x in sets], pa.int64()),
                     pa.array([_parity(x) for x in sets], pa.binary()),
+                    pa.array([_wide(x) for x in sets], pa.binary()),
                     pa.array([rule.prefix(x).astype(np.int64) if len(x) else [] for x in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "f1", "f2", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "f1", "f2", "parity", "wide", "prefix"])
 
-    return source.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, parity binary, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, parity binary, wide binary, prefix array<long>")
 
 
 def _keys(reps: DataFrame, rule: Rule) -> DataFrame:
-    """(key, rep) rows: rare tokens alone, frequent ones in pairs within their groups; keys of one row are left out."""
-    tokens = reps.where(F.col("n") > 1).select("rep", "n", F.explode("prefix").alias("token"))
+    """(key, rep) rows: rare tokens alone, frequent ones in pairs within their groups; tokens of one row are left out."""
+    tokens = reps.where(F.col("n") > 1).select("rep", F.explode("prefix").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("docs")).where(F.col("docs") > 1)
     shared = common.written(tokens.join(counts, "token"), "tokens")
     rare = shared.where(F.col("docs") < FREQUENT).select(F.col("token").alias("key"), "rep")
-    many = shared.where(F.col("docs") >= FREQUENT).groupBy("rep", "n").agg(F.collect_list("token").alias("tokens"))  # at most a prefix
+    many = shared.where(F.col("docs") >= FREQUENT).groupBy("rep").agg(F.collect_list("token").alias("tokens"))  # at most a prefix
+    many = many.join(reps.select("rep", "n"), "rep")
 
     def pairs(batches):
         for batch in batches:
@@ -296,18 +315,28 @@ def _compare(rule: Rule, rows: DataFrame, linked: bool) -> DataFrame:
     return columns.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Sets are made where the texts are read, for the documents in a bitmap of the pairs' ends. The first one's set
+    travels to the second, so ``b`` should be the one with many partners.
+    """
     pairs = common.written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    size = 1 << 23
+    shipped = pairs.sparkSession.sparkContext.broadcast(common.bitmap(ends, "doc_id", size))
+    source = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("_at"), "text")
+
     def make(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                part = batch.slice(s, 1000)
-                sets = shingle_sets(part.column(1).to_pylist(), rule.words)
+            batch = batch.filter(pa.array(common.hit(shipped.value, batch.column(1).to_numpy(zero_copy_only=False))))
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                sets = shingle_sets(part.column(2).to_pylist(), rule.words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "tokens"])
 
-    sets = common.written(documents.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(make, "doc_id long, tokens binary").dropDuplicates(["doc_id"]), "sets")
+    sets = source.mapInArrow(make, "doc_id long, tokens binary").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = common.written(sets, "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
 
     def test(batches):
@@ -316,21 +345,49 @@ def _verify(pairs: DataFrame, documents: DataFrame, reps: DataFrame, rule: Rule)
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 merged = np.sort(np.concatenate([x, y]), kind="stable")
-                common_tokens = int((merged[1:] == merged[:-1]).sum())
-                good.append(rule.down * common_tokens >= rule.up * (len(merged) - common_tokens))
+                shared = int((merged[1:] == merged[:-1]).sum())
+                good.append(rule.down * shared >= rule.up * (len(merged) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return common.written(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
 
 
+def _possible(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose wide bitmaps allow a link; they are a small part of the sets."""
+    wide = reps.select("rep", "n", "wide").dropDuplicates(["rep"])
+    both = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+
+    def test(batches):
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            apart = [_apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= rule.most_apart(n, m)))
+
+    return both.mapInArrow(test, "a long, b long")
+
+
+def _forest(pairs: DataFrame) -> DataFrame:
+    """Of candidate pairs, each document's one with its most connected partner, as (document, partner)."""
+    both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
+    degree = both.groupBy(F.col("b")).agg(F.count("*").alias("degree"))
+    best = both.join(degree, "b").groupBy("a").agg(F.max(F.struct("degree", (-F.col("b")).alias("minus"))).alias("_m"))
+    best = best.select("a", (-F.col("_m.minus")).alias("b"))
+    # two that chose each other are one pair
+    other = best.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a < b")
+    return best.join(other, ["a", "b"], "left_anti")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over (a, b), for nodes of links. Rounds of large and small stars.
 
     Each round is a few aggregations over the links; the number of rounds grows with the logarithm of the
-    longest chain. Only the number of changed rows reaches the driver.
+    longest chain. Only a count and two sums of hashes reach the driver; links that they tell to be as before are final.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = common.written(edges, "edges")
+    mark = F.xxhash64("u", "v")
+    state = lambda own: own.agg(F.count("*"), F.bit_xor(mark), F.sum(F.shiftright(mark, 20))).first()
+    before = state(edges)
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -338,9 +395,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        new = common.written(small, "edges")
-        same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
-        edges = new
+        edges = common.written(small, "edges")
+        same, before = (now := state(edges)) == before, now
         if same:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
@@ -356,17 +412,31 @@ def near_duplicates(documents: DataFrame, words: int = 5, least: Fraction = Frac
     rule = Rule(words, least)
     own = common.written(sets_table(documents, rule), "shingles")
     named = own.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    reps = common.written(reps, "classes")
+    classes = common.written(named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    firsts = named.dropDuplicates(["doc_id"]) if not classes.groupBy("rep").count().where("count > 1").isEmpty() else named
+    reps = firsts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     keys = common.written(_keys(reps, rule), "keys")
-    about = reps.groupBy("rep").agg(F.max("n").alias("n"), F.max("parity").alias("parity"))
-    first = _verify(_compare(rule, _dealt(keys, about.withColumn("comp", F.lit(0).cast("long"))), False), documents, reps, rule)
-    comps = components(first)
-    known = about.join(comps, about.rep == comps.node, "left").select("rep", "n", "parity", F.coalesce("comp", "rep").alias("comp"))
-    second = _verify(_compare(rule, _dealt(keys, known), True), documents, reps, rule)
-    if not second.isEmpty():
-        comps = components(first.union(second))
-    named_classes = reps.join(comps, reps.rep == comps.node, "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("component_id"))
+    about = reps.select("rep", "n", "parity").dropDuplicates(["rep"])
+    soon = keys.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SOON).alias("_k")).select("rep", F.explode("_k").alias("key"))
+    likely = common.written(_compare(rule, _dealt(soon, about.withColumn("comp", F.lit(0).cast("long"))), False), "likely")
+    links = _verify(_forest(common.written(_possible(likely, reps, rule), "possible")), documents, rule)
+    comps = components(links)
+    known = keys.join(comps, keys.rep == comps.node, "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    known = common.written(known, "known")
+    apart = known.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("key")
+    open_keys = known.join(apart, "key", "left_semi")
+    states = about.join(comps, about.rep == comps.node, "left").select("rep", "n", "parity", F.coalesce("comp", "rep").alias("comp"))
+    left = common.written(_possible(_compare(rule, _dealt(open_keys.select("key", "rep"), states), True), reps, rule), "left")
+    while not left.isEmpty():  # a tree's worth of pairs at a time: most others then lie within one component
+        tree = common.written(_forest(left), "tree")
+        links = links.union(_verify(tree, documents, rule))
+        comps = components(links)
+        done = tree.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(done, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}")), end, "left")
+        left = common.written(left.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "left")
+    named_classes = classes.join(comps, classes.rep == comps.node, "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("component_id"))
     joined = own.select("doc_id", "n", "f1", "f2").join(named_classes, ["n", "f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

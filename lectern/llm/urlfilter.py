@@ -68,9 +68,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = _levels(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.count("*").cast("double").alias("n")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    everything = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("mean"))
-    weight = _strength(suffixes, [])
-    top = suffixes.crossJoin(F.broadcast(everything)).crossJoin(F.broadcast(weight))  # one row each, aggregates of all
+    everything = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("mean")).withColumn("_one", F.lit(1))
+    weight = _strength(suffixes.withColumn("_one", F.lit(1)), ["_one"])
+    top = suffixes.withColumn("_one", F.lit(1)).join(F.broadcast(everything.join(weight, "_one")), "_one")  # a single row
     top = top.select("suffix", ((F.col("good") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("mean"))
     middle = domains.join(top, "suffix").join(_strength(domains, ["suffix"]), "suffix")
     middle = middle.select("domain", ((F.col("good") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("mean"))
