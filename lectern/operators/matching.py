@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,93 @@ def forward_match(tokens: DataFrame, heard: DataFrame, by: list[str], reach: int
     return heard.join(best, keys, "left").select(*keys, F.coalesce(F.col("_b.off"), F.lit(0)).cast("long").alias("best_off"), F.coalesce(-F.col("_b.s"), F.lit(0.0)).alias("best_score"))
 
 
+def _blocks_of(items: list[dict]) -> tuple:
+    """A block of items as numbers: (items, spans, words, the items of each word as offsets and places)."""
+    sets = [list(dict.fromkeys(x["heard"] or [])) for x in items]
+    spans = np.array([max(1, len(x["heard"] or []) * 13 // 10) for x in items], np.int64)
+    places: dict[str, list[int]] = {}
+    for k, own in enumerate(sets):
+        for w in own:
+            places.setdefault(w, []).append(k)
+    start = np.cumsum([0, *(len(x) for x in places.values())])
+    flat = np.array([k for x in places.values() for k in x], np.int64)
+    return [x["item"] for x in items], spans, pa.array(list(places), pa.string()), start, flat
+
+
+def _best_spans(prev: np.ndarray, word: np.ndarray, spans: np.ndarray, start: np.ndarray, flat: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best offset and score of each item in one window: ``prev`` is each token's previous place, ``word`` its
+    number among the items' words or -1."""
+    m, k = len(prev), len(spans)
+    own, at = np.unique(spans, return_inverse=True)
+    o = np.arange(m)
+    if m <= least:
+        return np.zeros(k, np.int64), np.zeros(k)
+    distinct = np.stack([np.cumsum(np.bincount(np.maximum(prev + 1, o - n + 1).clip(0), minlength=m)) - o for n in own])
+    token = np.flatnonzero(word >= 0)
+    count = start[word[token] + 1] - start[word[token]]
+    item = flat[np.repeat(start[word[token]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+    token = np.repeat(token, count)
+    row = item * (m + 1)
+    first = np.maximum(prev[token] + 1, token - spans[item] + 1).clip(0)
+    change = np.bincount(row + first, minlength=k * (m + 1)) - np.bincount(row + token + 1, minlength=k * (m + 1))
+    score = np.cumsum(change.reshape(k, m + 1), 1)[:, :m] / distinct[at]
+    score[(o < least) | (o > (m - np.maximum(1, spans // 2))[:, None])] = 0.0
+    best = score.argmax(1)
+    top = score[np.arange(k), best]
+    return np.where(top > 0, best, 0), top
+
+
+def forward_match_all(tokens: DataFrame, books: DataFrame, items: DataFrame, by: list[str], stride: int = 1000, reach: int = 1500, least: int = 40) -> DataFrame:
+    """``forward_match`` of every item (item, a number, and heard) in every book, from each ``stride``-th word on:
+    (item, cursor, best_off, best_score).
+
+    The cursors stop where no word lies ``least`` ahead; a book has the cursor 0 at least. Windows overlap, so every
+    span of up to reach - stride - least words lies whole in one. Books are cut in stretches of eight windows, which
+    meet items in blocks of 64 numbers; a window's scores are sums over the tokens that were heard.
+    """
+    length, spare = 8 * stride, reach - stride
+    here = F.floor(F.col("apos") / length).cast("long")
+    both = F.array_compact(F.array(here, F.when((here > 0) & (F.col("apos") % length < spare), here - 1)))
+    text = tokens.where(F.col("apos").isNotNull()).select(*by, "apos", "nw", F.explode(both).alias("_j"))
+    own = text.groupBy(*by, "_j").agg(F.transform(F.array_sort(F.collect_list(F.struct("apos", "nw"))), lambda x: x["nw"]).alias("_words"))
+    own = books.select(*by).join(own, by, "left").withColumn("_j", F.coalesce("_j", F.lit(0).cast("long")))
+    blocks = items.groupBy(F.floor(F.col("item") / 64).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("item", "heard"))).alias("_items"))
+    own = own.withColumn("_k", F.lit(1)).join(F.broadcast(blocks.withColumn("_k", F.lit(1))), "_k").select(*by, "_j", "_words", "_b", "_items")
+    kinds = [(c, books.schema[c].dataType) for c in by] + [("item", items.schema["item"].dataType)]
+    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", cursor long, best_off long, best_score double"
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                j, b = part.column(len(by))[0].as_py(), part.column(len(by) + 2)[0].as_py()
+                if b not in known:
+                    known = {b: _blocks_of(part.column(len(by) + 3)[0].as_py())} | dict([*known.items()][:15])
+                names, spans, vocabulary, start, flat = known[b]
+                words = part.column(len(by) + 1)[0].values
+                coded = (pa.array([], pa.string()) if words is None else words.cast(pa.string())).dictionary_encode()
+                ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                word = pc.fill_null(pc.index_in(coded.dictionary, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)[ids]
+                order = np.argsort(ids, kind="stable")
+                prev = np.full(len(ids), -1, np.int64)
+                same = ids[order][1:] == ids[order][:-1]
+                prev[order[1:][same]] = order[:-1][same]
+                cursors, found = [], []
+                for a in range(0, length, stride):
+                    if len(ids) - a > least or (j == 0 and a == 0):
+                        cursors.append(j * length + a)
+                        found.append(_best_spans(prev[a : a + reach] - a, word[a : a + reach], spans, start, flat, least))
+                if not found:
+                    continue
+                n = len(cursors) * len(names)
+                keys = [part.column(c).take(pa.array(np.zeros(n, np.int64))) for c in range(len(by))]
+                added = [pa.array(names * len(cursors), batch.schema.field(len(by) + 3).type.value_type.field(0).type), pa.array(np.repeat(cursors, len(names))), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))]
+                yield pa.RecordBatch.from_arrays([*keys, *added], names=[*by, "item", "cursor", "best_off", "best_score"])
+
+    return own.mapInArrow(run, schema)
+
+
 def resync_decision(here: Column, off: Column, score: Column, force: Column, resync_min: float = 0.5, match_min: float = 0.6, least: int = 40) -> Column:
     """ok, cut or deadzone, from the overlap here and the forward match."""
     ok = here >= resync_min

@@ -89,14 +89,15 @@ def _heard_in_books(spark, d):
 
 
 def forward_match(spark, d):
-    own = A.book_tokens(spark, d)
-    asked = _heard_in_books(spark, d).withColumn("cursor", F.col("item") * 10)
-    return matching.forward_match(own, asked, ["book_id"]).select("book_id", "item", "best_off", F.round("best_score", 9).alias("best_score"))
+    """Every item from cursors all over each book."""
+    books = A.docs(spark, d).select(F.col("source").alias("book_id")).distinct()
+    own = matching.forward_match_all(A.book_tokens(spark, d), books, A.heard(spark, d).withColumnRenamed("item_id", "item"), ["book_id"])
+    return own.select("book_id", "item", "cursor", "best_off", F.round("best_score", 9).alias("best_score"))
 
 
 def resync_decision(spark, d):
     own = forward_match(spark, d).withColumn("here", F.round((F.col("item") % 10) / 10.0, 1))
-    return own.select("book_id", "item", matching.resync_decision(F.col("here"), F.col("best_off"), F.col("best_score"), F.col("item") % 8 == 0).alias("decision"))
+    return own.select("book_id", "item", "cursor", matching.resync_decision(F.col("here"), F.col("best_off"), F.col("best_score"), F.col("item") % 8 == 0).alias("decision"))
 
 
 def deadzone_runs(spark, d):
@@ -104,12 +105,26 @@ def deadzone_runs(spark, d):
     return matching.deadzone_runs(own, ["book_id"])
 
 
-def locate_segment(spark, d):
+def _lines(spark, d):
     lines = sentences.lines(A.docs(spark, d).select("doc_id", F.col("source").alias("book_id"), "text"), ["book_id", "doc_id"])
     own = lines.withColumn("seg", (F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id", "para")) - 1).cast("long"))
-    own = own.select("book_id", "seg", T.words_of(F.col("line")).alias("words"))
+    return own.select("book_id", "seg", T.words_of(F.col("line")).alias("words"))
+
+
+def locate_segment(spark, d):
+    """Around one estimate near the head of each book; locate_segment_all searches the rest too."""
     asked = _heard_in_books(spark, d).withColumn("est", F.lit(200).cast("long"))
-    return matching.locate(own, asked, ["book_id"]).select("book_id", "item", "seg", F.round("score", 9).alias("score"))
+    return matching.locate(_lines(spark, d), asked, ["book_id"]).select("book_id", "item", "seg", F.round("score", 9).alias("score"))
+
+
+def locate_segment_all(spark, d):
+    """Around estimates 6000 lines apart, whose ranges of 3000 lines to both sides hold each line of a book once."""
+    own = _lines(spark, d)
+    ests = own.groupBy("book_id").agg(F.max("seg").alias("_m")).select("book_id", F.explode(F.sequence(F.lit(3000).cast("long"), F.floor(F.col("_m") / 6000) * 6000 + 3000, F.lit(6000).cast("long"))).alias("est"))
+    heard = A.heard(spark, d).select(F.col("item_id").alias("item"), "heard").withColumn("_k", F.lit(1))
+    asked = ests.withColumn("_k", F.lit(1)).join(F.broadcast(heard), "_k").select("book_id", F.struct("item", "est").alias("item"), "est", "heard")
+    found = matching.locate(own, asked, ["book_id"])
+    return found.select("book_id", "item.item", "item.est", "seg", F.round("score", 9).alias("score"))
 
 
 def _anchors(spark, d):
@@ -151,7 +166,7 @@ def exact_passages(spark, d):
     return matching.exact_passages(own, A.heard(spark, d).withColumnRenamed("heard", "words"))
 
 
-QUERIES = {f.__name__: f for f in (probe_grid, probe_capped, sparse_grid, spread_sample, aligned_window, overlap, rolling_median, flagged_runs, longest_run_suggest, run_windows, drift_bars, drift_gate, best_match, forward_match, resync_decision, deadzone_runs, locate_segment, trusted_anchors, interp, refine_best, boundary_gate, exact_passages)}
+QUERIES = {f.__name__: f for f in (probe_grid, probe_capped, sparse_grid, spread_sample, aligned_window, overlap, rolling_median, flagged_runs, longest_run_suggest, run_windows, drift_bars, drift_gate, best_match, forward_match, resync_decision, deadzone_runs, locate_segment, locate_segment_all, trusted_anchors, interp, refine_best, boundary_gate, exact_passages)}
 
 _S = "WITH " + A.SEGMENTS
 _GRID = _S + f""",
@@ -219,6 +234,15 @@ n AS (SELECT book_id, max(seg) + 1 AS n FROM c GROUP BY 1),
 x AS (SELECT book_id, item, seg, len(list_intersect(t, win))::DOUBLE / len(t) AS s FROM w JOIN n USING (book_id), t WHERE seg >= 0 AND seg < least(n, 3200)),
 b AS (SELECT book_id, item, min(struct_pack(s := -s, seg := seg)) AS b FROM x GROUP BY ALL)
 SELECT book_id, item, b.seg AS seg, round(-b.s, 9) AS score FROM b""",
+    "locate_segment_all": f"""
+WITH l AS (SELECT doc_id, source AS book_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+s AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY doc_id, para) - 1 AS seg, {A.WORDS.format('line')} AS ws FROM (SELECT book_id, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS para FROM l)),
+c AS (SELECT book_id, seg, ws, sum(len(ws)) OVER (PARTITION BY book_id ORDER BY seg)::BIGINT AS c1, (sum(len(ws)) OVER (PARTITION BY book_id ORDER BY seg) - len(ws))::BIGINT AS c0 FROM s),
+w AS (SELECT a.book_id, a.seg, list_distinct(flatten(list(b.ws))) AS win FROM c a JOIN c b ON a.book_id = b.book_id AND b.seg >= a.seg AND b.c0 - a.c0 < 60 GROUP BY ALL),
+t AS (SELECT item_id AS item, list_distinct(({A.WORDS.format('text')})[1:60]) AS t FROM benchmark),
+x AS (SELECT book_id, item, (seg // 6000) * 6000 + 3000 AS est, seg, len(list_intersect(t, win))::DOUBLE / len(t) AS s FROM w, t),
+b AS (SELECT book_id, item, est, min(struct_pack(s := -s, seg := seg)) AS b FROM x GROUP BY ALL)
+SELECT book_id, item, est, b.seg AS seg, round(-b.s, 9) AS score FROM b""",
     "trusted_anchors": _ANCHORS + "SELECT * FROM trust",
     "interp": _ANCHORS + r""",
 tot AS (SELECT book_id, max(end_ms) / 1000.0::DOUBLE AS td, count(*) AS ts FROM segs GROUP BY 1),

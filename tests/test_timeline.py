@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.operators import assemble, drift, matching, timeline, validate
+from lectern.plans import matches
 from lectern.streaming import windows as X
 
 
@@ -101,6 +102,33 @@ def test_forward_match_like_a_loop(spark):
     assert rows(got, "item", "best_off", "best_score") == sorted(want)
 
 
+def test_forward_match_all_like_one_by_one(spark):
+    draw = random.Random(3)
+    text = {b: [draw.choice("abcdefghijklmnop") * draw.randrange(1, 4) for _ in range(n)] for b, n in (("b", 2130), ("c", 30), ("d", 1041))}
+    heard = [(i, [draw.choice(text["b"]) for _ in range(n)] if i % 2 else text["b"][1900 + i : 1900 + i + n]) for i, n in enumerate((1, 5, 12, 20, 33, 0))] + [(70, text["d"][700:720])]
+    tokens = spark.createDataFrame([(b, i, w) for b, x in text.items() for i, w in enumerate(x)], "book_id string, apos long, nw string")
+    books = spark.createDataFrame([("b",), ("c",), ("d",), ("e",)], "book_id string")
+    items = spark.createDataFrame(heard, "item long, heard array<string>")
+    got = matching.forward_match_all(tokens, books, items, ["book_id"], 100, 150, 40).withColumn("best_score", F.round("best_score", 9))
+    cursors = {b: range(0, max(1, len(text.get(b, [])) - 40), 100) for b in "bcde"}
+    asked = spark.createDataFrame([(b, i * 10000 + c, c, h) for b, x in cursors.items() for c in x for i, h in heard], "book_id string, item long, cursor long, heard array<string>")
+    want = matching.forward_match(tokens, asked, ["book_id"], 150, 40).withColumn("best_score", F.round("best_score", 9))
+    assert rows(got.withColumn("item", F.col("item") * 10000 + F.col("cursor")), "book_id", "item", "best_off", "best_score") == rows(want, "book_id", "item", "best_off", "best_score")
+    best = got.where("item = 4 and book_id = 'b'").orderBy(F.desc("best_score")).first()
+    assert 1880 < best.cursor + best.best_off < 1930
+
+
+def test_searches_reach_the_end_of_a_book(spark, tmp_path):
+    words = lambda k: " ".join(chr(97 + (k * 7 + j) % 26) * 2 + chr(97 + k % 26) for j in range(3))
+    said = " ".join(f"passage{chr(97 + j)}" for j in range(20))
+    text = "\n".join([*(words(k) for k in range(6500)), said, *(words(k) for k in range(20))])
+    spark.createDataFrame([(1, text, "s", len(text))], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, said)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    best = matches.forward_match(spark, str(tmp_path)).orderBy(F.desc("best_score")).first()
+    assert abs(best.cursor + best.best_off - 3 * 6500) <= 6 and best.best_score > 0.7
+    assert [r.est for r in matches.locate_segment_all(spark, str(tmp_path)).where("score = 1").collect()] == [9000]
+
+
 def test_locate_like_a_loop(spark):
     draw = random.Random(4)
     lines = [[draw.choice("abcdefghij") * draw.randrange(1, 4) for _ in range(draw.randrange(0, 9))] for _ in range(80)]
