@@ -171,6 +171,17 @@ def test_url_reputation(spark):
     assert own[300] == "block" and own[301] == "allow" and own[100] == "allow"
 
 
+def test_url_hosts_without_outcomes(spark):
+    rows = [(i, f"http://h{i % 6}.bad.xyz/") for i in range(120)] + [(200 + i, f"http://h{i % 6}.fine.xyz/") for i in range(300)] + [(600 + i, f"http://h{i % 8}.d{i % 4}.junk/") for i in range(80)]
+    asked = {900: "new.bad.xyz", 901: "new.fine.xyz", 902: "new.xyz", 903: "new.junk", 904: "new.other"}
+    pages = spark.createDataFrame([*rows, *((i, f"http://{h}/") for i, h in asked.items())], "page_id long, url string")
+    good = spark.createDataFrame([(i, int(200 <= i < 600)) for i, _ in rows], "page_id long, good int")
+    own = {r.page_id: r for r in urlfilter.judge(pages, good).collect()}
+    assert len(own) == len(rows) + len(asked)
+    assert {i: own[i].verdict for i in asked} == {900: "block", 901: "allow", 902: "allow", 903: "block", 904: "allow"}
+    assert all(0 < own[i].reputation < 1 for i in asked)
+
+
 def test_url_sql(spark, small):
     oracle.same_rows(spark, small, urlfilter.op4_url_filter, urlfilter.OP4_SQL)
 
