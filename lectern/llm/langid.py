@@ -20,6 +20,7 @@ ORDER = 5
 DOCS_PER_LANGUAGE = 500  # the bound of the sample: so many documents of each language
 MOST_CHARS = 50_000  # longer documents are not learned from
 CALIBRATION = 5  # each fifth document of the sample calibrates and is not counted
+BOUND_SHARE = 0.95  # of the calibrating documents, those that set a language's bound; the rest may be junk
 MOST_LETTERS = 4000  # of the alphabet; rarer ones share one id
 BLOCK = 1_500_000  # characters that are scored at once
 
@@ -218,9 +219,12 @@ def train(rows: list[tuple[str, str, int]]) -> Model:
             losses.append((float((np.log(np.exp(z).sum(1)) - z[np.arange(len(true)), true]).mean()), scale))
         model.scale = min(losses)[1]
         bits = -rate[np.arange(len(true)), true] / np.log(2)
+        fits = (rate.argmax(1) == true) & (n >= 50)  # a mislabelled document fits another language better
         for k in range(len(languages)):
-            own = bits[(true == k) & (n >= 50)]
-            model.bounds[k] = (own.max() + 3 * own.std() + 0.5) if len(own) >= 5 else np.inf
+            own = bits[fits & (true == k)]
+            if len(own) >= 5:
+                high = np.quantile(own, BOUND_SHARE)
+                model.bounds[k] = high + 3 * own[own <= high].std() + 0.5
     return model
 
 

@@ -66,6 +66,18 @@ def test_language_blocks_agree():
     assert np.allclose(whole, parts) and (n == m).all()
 
 
+def test_unlearned_language_is_rejected():
+    draw = random.Random(6)
+    prose = lambda words: " ".join(draw.choice(words.split()) for _ in range(60))
+    en, de, es = "the cat and dog with house under green tree walking slowly", "der hund und die katze mit haus unter grünem baum langsam", "el perro y la gata con casa bajo árbol verde camina despacio"
+    rows = [(k, prose(words), i) for i in range(60) for k, words in (("en", en), ("de", de))]
+    rows += [("de", prose(en), 5 * i) for i in (100, 101)] + [("en", "zq xj qk vw " * 30, 600)]
+    model = langid.train(rows)
+    names, _, _, rejected = model.judge([prose(w) for w in (en, de, es, es, es) for _ in range(10)])
+    assert names[:20] == ["en"] * 10 + ["de"] * 10
+    assert not rejected[:20].any() and rejected[20:].all()
+
+
 def test_quality_held_out(spark, small):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     own = [r for r in quality.op1_quality(spark, small).collect() if r.held_out and r.doc_id in labels]
