@@ -85,6 +85,16 @@ def test_quality_held_out(spark, small):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in own)
 
 
+def test_quality_filter_held_out(spark):
+    d = "/root/testdata/sf0.01"  # sf0.001 holds three documents of label 0 back
+    if not Path(d).is_dir():
+        pytest.skip("no test tables")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    own = [r for r in quality.op1_quality(spark, d).collect() if r.held_out and r.doc_id in labels]
+    kept = lambda y: [r.score >= quality.REJECT for r in own if labels[r.doc_id] == y]
+    assert sum(kept(0)) <= 0.2 * len(kept(0)) and sum(kept(1)) >= 0.95 * len(kept(1))
+
+
 def test_quality_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score == 0.5 for r in quality.score(odd, quality.fit(odd, none), ["doc_id"]).collect())
