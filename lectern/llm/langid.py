@@ -1,6 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-For each language a model of order five counts character sequences of a bounded sample of labelled texts.
+For each language a model of order five counts character sequences of a bounded sample of labelled texts: at
+most DOCS_PER_LANGUAGE documents, drawn by a hash of their id.
 All probabilities stand in sorted arrays of hashes; a text gets the language of the lowest cross-entropy a
 letter, and a calibrated bound on that cross-entropy rejects texts that fit none of the languages.
 """
@@ -18,11 +19,12 @@ from lectern.llm import common
 
 ORDER = 5
 DOCS_PER_LANGUAGE = 500  # the bound of the sample: so many documents of each language
-MOST_CHARS = 50_000  # longer documents are not learned from
+CHARS = 8_000_000  # and no further document of a language once those before hold so many characters
 CALIBRATION = 5  # each fifth document of the sample calibrates and is not counted
 BOUND_SHARE = 0.95  # of the calibrating documents, those that set a language's bound; the rest may be junk
-MOST_LETTERS = 4000  # of the alphabet; rarer ones share one id
-BLOCK = 1_500_000  # characters that are scored at once
+MOST_LETTERS = 4000  # the model's alphabet; rarer letters share one id, so that a sequence of ORDER letters fits into 63 bits
+BLOCK = 400_000  # characters that are scored at once
+ROWS = 1000  # texts that are held at once
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +60,7 @@ class Alphabet:
         self.letters = sorted(of, key=lambda c: (-of[c], c))[:MOST_LETTERS]
         self.size = len(self.letters) + 2  # with 0 and the id of other letters
         self.bits = max(1, (self.size - 1).bit_length())
-        self.order = max(2, min(ORDER, 44 // self.bits))
+        self.order = ORDER
         self._table = None
 
     def table(self) -> np.ndarray:
@@ -229,20 +231,21 @@ def train(rows: list[tuple[str, str, int]]) -> Model:
 
 
 def fit(documents: DataFrame, where=None) -> Model:
-    """Learn from at most DOCS_PER_LANGUAGE documents a language, of those with text, ``lang`` and ``doc_id``."""
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS))
-    if where is not None:
-        usable = usable.where(where)
-    ids = common.bounded_ids(usable.select("lang", "doc_id"), "lang", DOCS_PER_LANGUAGE)
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id")), "doc_id").orderBy("doc_id", "lang", "text").collect()
-    return train([(r.lang, r.text, i) for i, r in enumerate(rows)])
+    """Learn from at most DOCS_PER_LANGUAGE documents a language, of those with text, ``lang`` and ``doc_id``.
+
+    Of rows that repeat an id the least (lang, text) counts. No text is too long to be learned from.
+    """
+    rows = common.bounded_sample(documents if where is None else documents.where(where), "lang", DOCS_PER_LANGUAGE, CHARS)
+    return train([(r.lang, r.text, i) for i, r in enumerate(sorted(rows, key=lambda r: r.doc_id))])
 
 
 def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``documents`` with lang_pred, score, bits (cross-entropy a letter) and rejected.
 
-    One pass without a shuffle. Null, empty or letterless text: ``und``, score 0, rejected.
+    One pass without a shuffle. Null, empty or letterless text: ``und``, score 0, rejected. Repeated rows and ids are
+    each judged by their own text. Columns in ``keep`` with the name of an added one are refused.
     """
+    common.fresh(keep, ["lang_pred", "score", "bits", "rejected"])
     spark = documents.sparkSession
     shipped = spark.sparkContext.broadcast(model)
     source = documents.select(*keep, F.col("text").alias("_scored"))
@@ -251,11 +254,13 @@ def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches):
         own = shipped.value
         for batch in batches:
-            names, p, bits, rejected = own.judge(batch.column(len(keep)).to_pylist())
-            added = [pa.array(names, pa.string()), pa.array(p, pa.float64()), pa.array(bits, pa.float64(), from_pandas=True), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *added], names=[*keep, "lang_pred", "score", "bits", "rejected"])
+            for s in range(0, batch.num_rows, ROWS):
+                part = batch.slice(s, ROWS)
+                names, p, bits, rejected = own.judge(part.column(len(keep)).to_pylist())
+                added = [pa.array(names, pa.string()), pa.array(p, pa.float64()), pa.array(bits, pa.float64(), from_pandas=True), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *added], names=[*keep, "lang_pred", "score", "bits", "rejected"])
 
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double, rejected boolean")
+    return source.mapInArrow(common.lean(run), f"{schema}, lang_pred string, score double, bits double, rejected boolean")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,7 @@ def media_columns(documents: DataFrame, text: str = "text", keep: tuple = ("doc_
     ``with_file`` adds the file itself and the sync samples' byte ranges.
     """
     n = len(keep)
+    common.fresh(list(keep), ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(("media", "sync_ranges") if with_file else ())])
     source = documents.select(*keep, F.col(text).alias("_stored"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
     schema += ", n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -212,7 +213,7 @@ def media_columns(documents: DataFrame, text: str = "text", keep: tuple = ("doc_
                 added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *added], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.lean(run), schema)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 DOCS_PER_LABEL = 2500  # the bound of the sample: so many documents of each label
-MOST_CHARS = 40_000  # longer documents are not learned from
+CHARS = 16_000_000  # and no further document of a label once those before hold so many characters
 WORDS = 40_000  # of the sample, the most frequent that get a vector of their own
 SIZE, NONZERO, WINDOW = 96, 6, 2
 NEAR = 4  # repetitions are counted up to this distance
 FEATURES = SIZE + 3 + NEAR
 HIDDEN, EPOCHS, RATE = 32, 300, 0.02
 CALIBRATION = 5  # each fifth document calibrates
+ROWS = 500  # texts that are held at once
 ACCEPT = 0.7  # the least score that predicts 1
 REJECT = 0.3  # a filter drops documents below this score only
 
@@ -65,31 +66,32 @@ class Model:
     """Vocabulary, word vectors, weights and network; a few ten MB at most, bounded by the parameters above."""
 
     def __init__(self, texts: list[str], labels: list[int]):
-        tokens = [TOKEN.findall(x) for x in texts]
         counts: dict[str, int] = {}
-        for x in tokens:
-            for w in x:
+        for x in texts:
+            for w in TOKEN.findall(x):
                 counts[w] = counts.get(w, 0) + 1
         kept = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))[:WORDS]
         self.ids = {w: UNKNOWN + i for i, w in enumerate(kept)}
         self.seen: dict[str, int] = {}
         n = UNKNOWN + len(kept)
         places, signs = _index([f"\0{k}" for k in range(UNKNOWN)] + kept)
-        docs = [self.words(x) for x in tokens]
+        docs = [self.words(TOKEN.findall(x)) for x in texts]  # texts are split anew rather than held as words
         vectors = np.zeros(n * SIZE)
         for d in range(1, WINDOW + 1):  # the context vectors: a word gathers its neighbours' index vectors
-            a = np.concatenate([np.zeros(0, np.int64), *(x[:-d] for x in docs)])
-            b = np.concatenate([np.zeros(0, np.int64), *(x[d:] for x in docs)])
+            a = np.concatenate([np.zeros(0, np.int32), *(x[:-d] for x in docs)])
+            b = np.concatenate([np.zeros(0, np.int32), *(x[d:] for x in docs)])
             for own, other in ((a, b), (b, a)):
                 for k in range(NONZERO):
-                    vectors += np.bincount(own * SIZE + places[other, k], signs[other, k], minlength=n * SIZE)
+                    for s in range(0, len(own), 1 << 20):
+                        x, y = own[s : s + (1 << 20)].astype(np.int64), other[s : s + (1 << 20)]
+                        vectors += np.bincount(x * SIZE + places[y, k], signs[y, k], minlength=n * SIZE)
         vectors = vectors.reshape(n, SIZE)
         for k in range(NONZERO):  # and its own
             vectors[np.arange(n), places[:, k]] += signs[:, k] * 2
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         found = np.bincount(np.concatenate([np.unique(x) for x in docs]) if docs else np.zeros(0, np.int64), minlength=n)
         self.vectors = (vectors * np.log(1 + (len(docs) + 1) / (1 + found))[:, None]).astype(np.float32)
-        x = np.stack([self.pooled(d, t) for d, t in zip(docs, tokens, strict=True)]) if docs else np.zeros((0, FEATURES), np.float32)
+        x = np.stack([self.pooled(d, TOKEN.findall(t)) for d, t in zip(docs, texts, strict=True)]) if docs else np.zeros((0, FEATURES), np.float32)
         self.mean, self.scale = x.mean(0) if docs else 0.0, x.std(0) + 1e-3 if docs else 1.0
         self.net, self.temperature = None, 1.0
         y = np.array(labels, float)
@@ -110,11 +112,11 @@ class Model:
             if i is None:
                 i = seen.get(w)
                 if i is None:
-                    if len(seen) > 300_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     i = seen[w] = _shape(w)
             out.append(i)
-        return np.array(out, np.int64)
+        return np.array(out, np.int32)
 
     def pooled(self, ids: np.ndarray, tokens: list[str]) -> np.ndarray:
         """The mean of the words' vectors, the share of words without one, the logarithm of the length, and how many words repeat one shortly before."""
@@ -163,19 +165,26 @@ class Model:
 def fit(documents: DataFrame, labels: DataFrame, where=None) -> Model:
     """Learn from at most DOCS_PER_LABEL documents of each quality. ``where`` selects rows of ``labels``.
 
-    Labels other than 0 and 1 are left out; of several labels of one document the lowest counts.
+    Labels other than 0 and 1 are left out; of several labels of one document the lowest counts, of several texts the least.
     """
     rated = labels.where(F.col("quality").isin(0, 1))
     if where is not None:
         rated = rated.where(where)
     rated = rated.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = common.bounded_ids(rated, "quality", DOCS_PER_LABEL)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return Model([r.text for r in rows], [r.quality for r in rows])
+    rows = common.bounded_sample(documents, "quality", DOCS_PER_LABEL, CHARS, rated)
+    model = Model([r.text for r in rows], [r.quality for r in rows])
+    del rows
+    common.tidy()
+    return model
 
 
 def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``documents`` with their score. One pass without a shuffle."""
+    """The columns ``keep`` of ``documents`` with their score. One pass without a shuffle.
+
+    Null and empty texts have a score as well; repeated rows are scored each by its own text. A column in ``keep`` called
+    score is refused.
+    """
+    common.fresh(keep, ["score"])
     shipped = documents.sparkSession.sparkContext.broadcast(model)
     source = documents.select(*keep, F.col("text").alias("_scored"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
@@ -183,12 +192,12 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches):
         own = shipped.value
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                part = batch.slice(s, 1000)
+            for s in range(0, batch.num_rows, ROWS):
+                part = batch.slice(s, ROWS)
                 scores = own.scores(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return source.mapInArrow(run, f"{schema}, score double")
+    return source.mapInArrow(common.lean(run), f"{schema}, score double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

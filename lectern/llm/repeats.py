@@ -45,8 +45,14 @@ _CODE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 class _Powers:
+    """Powers of the rolling hash's base and of its inverse, as far as a task needs them."""
+
     up = down = np.zeros(0, np.uint64)
 
+    @classmethod
+    def forget(cls) -> None:
+        cls.up = cls.down = np.zeros(0, np.uint64)
+
     @classmethod
     def of(cls, n: int):
         if len(cls.up) < n:
@@ -60,6 +66,9 @@ class _Powers:
         return cls.up, cls.down
 
 
+common.at_task_end(_Powers.forget)
+
+
 class Hashes:
     """Fingerprints of any substring of some bytes."""
 
@@ -181,7 +190,7 @@ def _phrases(documents: DataFrame) -> DataFrame:
                 doc, start, count, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield from _local(a, b, doc, start, count)
 
-    return documents.mapInArrow(run, FIELDS)
+    return documents.mapInArrow(common.lean(run), FIELDS)
 
 
 def _decide(rows: DataFrame, detail: bool) -> DataFrame:
@@ -231,7 +240,7 @@ def _decide(rows: DataFrame, detail: bool) -> DataFrame:
             state = (a[-1], b[-1], (first_doc[-1], first_start[-1]), waiting)
 
     sorted_rows = rows.repartition("a") if detail else rows.repartition("a", "b")
-    return sorted_rows.sortWithinPartitions("a", "b", "doc_id", "start").mapInArrow(run, FIELDS)
+    return sorted_rows.sortWithinPartitions("a", "b", "doc_id", "start").mapInArrow(common.lean(run), FIELDS)
 
 
 def _contexts(detail: DataFrame, texts: DataFrame) -> DataFrame:
@@ -248,7 +257,7 @@ def _contexts(detail: DataFrame, texts: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "doc_id", "start", "bytes"])
 
-    return source.mapInArrow(run, "a long, doc_id long, start long, bytes binary")
+    return source.mapInArrow(common.lean(run), "a long, doc_id long, start long, bytes binary")
 
 
 def _resolve(contexts: DataFrame) -> DataFrame:
@@ -308,7 +317,7 @@ def _resolve(contexts: DataFrame) -> DataFrame:
         if len(kept[0]):
             yield from finish(kept)
 
-    return contexts.repartition("a").sortWithinPartitions("a", "doc_id", "start").mapInArrow(run, FIELDS)
+    return contexts.repartition("a").sortWithinPartitions("a", "doc_id", "start").mapInArrow(common.lean(run), FIELDS)
 
 
 def _blocks(rows, s, finish, spill):
@@ -373,7 +382,7 @@ def removed(documents: DataFrame) -> DataFrame:
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return source.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return source.mapInArrow(common.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -400,7 +409,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
                 out[chars] = pa.array(lengths, pa.int64())
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return source.mapInArrow(run, documents.schema)
+    return source.mapInArrow(common.lean(run), documents.schema)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
