@@ -1,11 +1,15 @@
 """Packing tokenised documents into sequences: exact complements first, best fit for what is left.
 
 The plan works on the counts of piece lengths, which are at most as many as a sequence has tokens, so it is the
-same small job for any input. Pieces find their places by their rank within their length.
+same small job for any input. Lengths are taken from the longest down. What one or several pieces of a length leave of
+their sequence is a gap, and an index of single, pair and triple sums tells which lengths fill it exactly; a
+combination is used as often as the counts allow. Lengths without such a complement go on to best fit.
+Pieces find their places by their rank within their length.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -20,17 +24,22 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 LENGTH = 2048
-WORDS_KEPT = 300_000  # words whose ids a worker remembers, and parts of words; it starts anew beyond that
-PARTS_KEPT = 800_000
-#: letters followed by marks: the tokenizer cuts between them. Apostrophes and digits are left to it.
-PARTS = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
+WORDS_KEPT = 150_000  # words whose ids a task remembers, and parts of words; it starts anew beyond that
+PARTS_KEPT = 300_000
+SPARED = (0, 1 / 32, 1 / 8, 1 / 2)  # shares of the tokens that the exact phase may leave to best fit
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a piece with letters after it
+
+#: The steps of a tokenizer whose texts may be cut at white space.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Ids:
     """Token ids of texts, each followed by id 0, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's steps never reach across white space, so texts are cut at spaces, tabs and line ends
-    and each distinct word is tokenised once; of words with marks at their end, letters and marks apart.
+    Texts are cut at spaces, tabs and line ends and each distinct word is tokenised once; of words with marks
+    at their end, letters and marks apart. Both only if the file's own steps, which are looked up when it is loaded,
+    never reach across such a cut; texts of any other tokenizer are tokenised whole.
     """
 
     _loaded: dict[str, Ids] = {}
@@ -41,6 +50,26 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        own = json.loads(self.tokenizer.to_str())
+        steps, split = own["normalizer"] or {}, (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.cut = (
+            steps.get("type") == "Sequence" and steps["normalizers"] == NORMALIZER
+            and [x.get("type") for x in split] == ["Split", "ByteLevel"] and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
+            and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+            and all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not any(c.isspace() for c in x["content"]) for x in own["added_tokens"])
+        )
+        letters = "".join(c for c in map(chr, range(0x61, 0x250)) if self._apart(c))
+        self.ends = re.compile(f"([{letters}]+)([{re.escape(MARKS)}]+)") if self.cut and letters else None
+
+    def _apart(self, letter: str) -> bool:
+        """Whether the tokenizer keeps a letter one letter and cuts between it and a mark."""
+        own = self.tokenizer.normalizer.normalize_str(letter) if self.cut else ""
+        return len(own) == 1 and own.isalpha() and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(own + "!")) == 2 and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(own + "a")) == 1
+
+    @classmethod
+    def forget(cls) -> None:
+        for own in cls._loaded.values():
+            own.words, own.parts = {}, {}
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -50,13 +79,16 @@ class Ids:
 
     @staticmethod
     def folded(text: str) -> str:
-        """Lower case where the tokenizer's own steps, which compose and then lower each character, give the same."""
-        if text.isascii() or unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:
+        """A-Z as a-z where that changes no step: not near special tokens, nor where a lower letter composes with a mark."""
+        if "<|" in text:
+            return text
+        if text.isascii():
             return text.lower()
-        return text
+        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
 
     def _learn(self, words: list[str]) -> None:
-        split = [(m[1], m[2]) if (m := PARTS.fullmatch(w)) else (w,) for w in words]
+        split = [(m[1], m[2]) if (m := self.ends.fullmatch(w)) else (w,) for w in words]
         parts = self.parts
         if len(parts) > PARTS_KEPT:
             parts.clear()
@@ -67,6 +99,8 @@ class Ids:
         self.words.update((w, parts[s[0]] if len(s) == 1 else parts[s[0]] + parts[s[1]]) for w, s in zip(words, split, strict=True))
 
     def encode(self, texts: list) -> list[bytes]:
+        if not self.cut:
+            return [np.array([*e.ids, 0], "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         words = self.words
         if len(words) > WORDS_KEPT:
             words.clear()
@@ -78,72 +112,126 @@ class Ids:
         return [b"".join([words[w] for w in s]) + end for s in split]
 
 
+common.at_task_end(Ids.forget)
+
+
+class Sums:
+    """The sums of one, two and three available lengths, by sum, while counts in ``have`` only fall.
+
+    The pairs of a sum are listed when it is first asked for, the most even one first, or the most uneven one. What the counts no longer allow never comes back, so the place in a list of pairs, and the length that a triple
+    begins with, move on only.
+    """
+
+    def __init__(self, have: list[int], even: bool = True):
+        self.have, self.even = have, even
+        self.pairs: dict[int, list[int]] = {}
+        self.place: dict[int, int] = {}
+        self.triples: dict[int, int] = {}
+
+    def pair(self, total: int, beside: int = 0) -> list[int] | None:
+        """Two available lengths of this sum, when one of ``beside`` is taken."""
+        have = self.have
+        if total not in self.pairs:
+            found = [a for a in range((total + 1) // 2, min(total, len(have))) if have[a] and have[total - a]]
+            self.pairs[total] = found if self.even else found[::-1]
+        entries, first = self.pairs[total], self.place.get(total, 0)
+        for at in range(first, len(entries)):
+            a = entries[at]
+            b = total - a
+            need = 1 + (a == b)
+            if have[a] < need or have[b] < need:
+                if at == first:
+                    first = self.place[total] = at + 1
+            elif have[a] >= need + (a == beside) and have[b] >= need + (b == beside):
+                return [a, b]
+        return None
+
+    def fill(self, gap: int) -> list[int] | None:
+        if self.have[gap]:
+            return [gap]
+        found = self.pair(gap)
+        c = self.triples.get(gap, gap - 2)
+        while not found and c > 0:
+            pair = self.pair(gap - c, c) if self.have[c] else None
+            found = [c, *pair] if pair else None
+            c -= not found
+        self.triples[gap] = c
+        return found
+
+
 def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:
-    """(how many sequences, lengths in each) that hold all pieces.
+    """(how many sequences, lengths in each) that hold all pieces: exact complements first, then best fit.
 
-    From the longest length down: what is left of its sequence is filled exactly with one, two or three
-    available lengths if it can be, and else with the longest length that fits, and so on. A combination is
-    used as often as the counts allow, so there are few combinations even for many pieces.
+    Pairs are taken most even or most uneven first, and a share of the tokens, in the shortest lengths, may be spared for
+    best fit. Of these plans the first with the fewest sequences counts; one that meets the sum's bound ends the search.
     """
-    have = np.zeros(length + 1, np.int64)
-    for k, n in counts.items():
-        have[k] = n
-    out = []
-    top = length
-    while True:
-        while top and not have[top]:
-            top -= 1
-        if not top:
-            return out
-        have[top] -= 1
-        used, gap = [top], length - top
-        while gap:
-            more = _exact(have, gap) or _longest(have, gap)
-            if not more:
+    total = sum(k * n for k, n in counts.items())
+    best, least = [], None
+    for spared in SPARED:
+        for even in (True, False):
+            own = _plan(counts, length, int(total * spared), even)
+            size = sum(n for n, _ in own)
+            if least is None or size < least:
+                best, least = own, size
+            if least * length - total < length:
+                return best
+    return best
+
+
+def _plan(counts: dict[int, int], length: int, spared: int, even: bool) -> list[tuple[int, tuple[int, ...]]]:
+    have, left, out = [0] * (length + 1), {}, []
+    for k, n in sorted(counts.items()):
+        aside = min(n, spared // k)
+        spared -= k * aside
+        have[k] = n - aside
+        if aside:
+            left[k] = aside
+    sums = Sums(have, even)
+    for top in range(length, 0, -1):
+        while have[top]:
+            used = None
+            for k in range(max(1, -(-(length - 3 * top) // top)), min(have[top], length // top) + 1):
+                have[top] -= k
+                more = sums.fill(length - k * top) if k * top < length else []
+                have[top] += k
+                if more is not None:
+                    used = [top] * k + more
+                    break
+            if used is None:
+                left[top], have[top] = left.get(top, 0) + have[top], 0
                 break
-            for k in more:
-                have[k] -= 1
-            used += more
-            gap -= sum(more)
-        kinds, each = np.unique(used, return_counts=True)
-        times = 1 + int((have[kinds] // each).min())
-        have[kinds] -= each * (times - 1)
-        out.append((times, tuple(sorted(used, reverse=True))))
-
-
-def _exact(have: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that sum to ``gap``, the longest first."""
-    if have[gap]:
-        return [gap]
-    low = np.flatnonzero(have[:gap])
-    if not len(low):
-        return None
-    pair = _pair(have, gap, low)
-    if pair:
-        return pair
-    for a in low[::-1].tolist():
-        if 3 * a < gap:
-            return None
-        have[a] -= 1
-        rest = gap - a
-        pair = _pair(have, rest, low[: np.searchsorted(low, min(a + 1, rest))]) if rest > 1 else None
-        have[a] += 1
-        if pair:
-            return [a, *pair]
-    return None
-
-
-def _pair(have: np.ndarray, total: int, low: np.ndarray) -> list[int] | None:
-    other = total - low
-    good = (have[low] > 0) & (other > 0) & (other <= low)
-    good[good] &= have[other[good]] >= 1 + (other[good] == low[good])
-    at = np.flatnonzero(good)
-    return [int(low[at[-1]]), int(other[at[-1]])] if len(at) else None
-
-
-def _longest(have: np.ndarray, gap: int) -> list[int] | None:
-    low = np.flatnonzero(have[: gap + 1])
-    return [int(low[-1])] if len(low) else None
+            each = {x: used.count(x) for x in used}
+            times = min(have[x] // n for x, n in each.items())
+            for x, n in each.items():
+                have[x] -= n * times
+            out.append((times, tuple(used)))
+    return out + best_fit(left, length)
+
+
+def best_fit(counts: dict[int, int], length: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Best fit, the longest first, on counts: sequences with the same lengths in them are one row with their number."""
+    rooms: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+    for size in sorted(counts, reverse=True):
+        n = counts[size]
+        while n:
+            fits = [r for r in rooms if r >= size]
+            if not fits:
+                each = min(n, length // size)
+                times = n // each
+                rooms.setdefault(length - each * size, []).append((times, (size,) * each))
+                n -= times * each
+                continue
+            room = min(fits)
+            times, used = rooms[room].pop()
+            if not rooms[room]:
+                del rooms[room]
+            each = min(room // size, max(1, n // times))
+            now = min(times, n // each)
+            if now < times:
+                rooms.setdefault(room, []).append((times - now, used))
+            rooms.setdefault(room - each * size, []).append((now, used + (size,) * each))
+            n -= now * each
+    return [row for rows in rooms.values() for row in rows]
 
 
 def pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -156,7 +244,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in common.blocks(texts, 4_000_000):
+            for a, b in common.blocks(texts, 1_000_000):
                 at, rows = [], []
                 for i, x in enumerate(ids.encode(texts[a:b])):
                     n = len(x) // 4
@@ -168,7 +256,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), columns[0].cast(pa.int32()), *columns[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
 
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long")
+    return source.mapInArrow(common.lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long")
 
 
 def pack(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -208,7 +296,7 @@ def pack(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found[:, 1] + rank - found[:, 0]), pa.array(found[:, 2])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = own.join(starts, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(common.lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def tokenizer_path() -> str:
@@ -218,4 +306,5 @@ def tokenizer_path() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path())
