@@ -18,9 +18,10 @@ from lectern.llm import common
 SAMPLE = 20_000  # the bound of the rows that centroids are fitted on; every row is indexed
 CELL = 2_000  # rows a cell is meant to hold
 MOST_CELLS = 4_096
-PROBED = 10  # cells a query looks into at least,
-SHARE = 0.85  # and at least this share of all cells: vectors without clear groups need most of them for the recall asked for
-PART = 20_000  # rows of a cell that one task holds; fuller cells are dealt over several
+PROBED = 4  # cells a query looks into at least,
+TARGET = 0.97  # and as many as hold this share of the nearest rows of sampled queries: few if vectors lie in groups, most if not
+TRIED = 400  # sampled queries that tell
+PART = 20_000  # rows of a cell, and queries to it, that one task holds; more are dealt over several
 PLANES = 6  # bits a component of the query keeps
 BOUND = 4.0  # standard errors that the bound allows for
 QUERIES = 512  # queries that are estimated at once
@@ -43,6 +44,29 @@ class Index:
                 if n[k]:
                     c[k] = sample[at == k].mean(0)
         self.centroids = c
+        self.probed = self._needed(sample, draw.choice(len(sample), min(TRIED, len(sample)), replace=False))
+
+    def _needed(self, sample: np.ndarray, tried: np.ndarray, k: int = 10) -> int:
+        """How many cells, in the order that a query looks into them, hold TARGET of the sample's own nearest rows.
+
+        All rows lie closer to a query than a sample of them does, so their nearest ones are spread over no more cells.
+        """
+        cell = self.cells(sample)
+        ranks = []
+        half = (sample * sample).sum(1) / 2
+        for s in range(0, len(tried), 64):
+            q = tried[s : s + 64]
+            gap = half - sample[q] @ sample.T
+            gap[np.arange(len(q)), q] = np.inf
+            near = np.argsort(gap, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+            place = np.argsort(self._order(sample[q]), axis=1, kind="stable")
+            ranks.append(np.take_along_axis(place, cell[near], 1).ravel())
+        found = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0)
+        return int(min(len(self.centroids), max(PROBED, found[int(np.ceil(TARGET * len(found))) - 1] + 1 if len(found) else 0)))
+
+    def _order(self, x: np.ndarray) -> np.ndarray:
+        gap = (self.centroids * self.centroids).sum(1) / 2 - x @ self.centroids.T
+        return np.argsort(gap, axis=1, kind="stable")
 
     @staticmethod
     def _nearest(c: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -53,9 +77,7 @@ class Index:
         return self._nearest(self.centroids, x)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
-        k = min(len(self.centroids), max(PROBED, int(np.ceil(SHARE * len(self.centroids)))))
-        gap = (self.centroids * self.centroids).sum(1) / 2 - x @ self.centroids.T
-        return np.argsort(gap, axis=1, kind="stable")[:, :k]
+        return self._order(x)[:, : self.probed]
 
     def codes(self, x: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed signs, norms and correction scalars of rows of one cell."""
@@ -128,8 +150,8 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """The ``k`` nearest rows of each query row among all other rows; fewer only if there are fewer.
 
     Vectors of another length than most of the sample's take no part, nor those that ``usable`` leaves out.
-    Rows of one vec_id count as one another's own. Ties go to the smaller vec_id. A cell's rows are dealt over
-    as many tasks as its count asks for, so a vector with a third of all rows is no task's burden.
+    Rows of one vec_id count as one another's own. Ties go to the smaller vec_id. A cell's rows, and the queries that look
+    into it, are dealt over as many tasks as their counts ask for, so a vector with a third of all rows is no task's burden.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -154,23 +176,28 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
         return pd.Series(list(shipped.value.probes(np.stack(v.to_numpy())).astype("int32")) if len(v) else [])
 
     placed = common.written(rows.select("vec_id", "v", cell_of("v").alias("cell")), "cells")
-    full = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per cell
-    if not full:
-        return spark.createDataFrame([], out)
-    parts = F.create_map(*[F.lit(int(y)) for c, m in full.items() for y in (c, -(-m // PART))])
-    data = placed.withColumn("part", (F.pmod(F.xxhash64("vec_id"), parts[F.col("cell")])).cast("int"))
+    count = lambda own: {r.cell: r.n for r in own.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # noqa: E731  a row a cell
+    number = lambda counts: F.coalesce(F.create_map(*[F.lit(int(y)) for c, m in counts.items() for y in (c, -(-m // PART))])[F.col("cell")], F.lit(0))
     queries = placed.where(is_query).select("vec_id", "v", F.explode(cells_of("v")).alias("cell"))
-    queries = queries.where(parts[F.col("cell")].isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), (parts[F.col("cell")] - 1).cast("int"))))
+    full, asked = count(placed), count(queries)
+    if not full or not asked:
+        return spark.createDataFrame([], out)
+    rows, blocks = number(full).cast("int"), number(asked).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    data = placed.where(blocks > 0).withColumn("part", deal(rows)).withColumn("block", every(blocks))
+    queries = queries.where(rows > 0).withColumn("block", deal(blocks)).withColumn("part", every(rows))
 
     def one(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return search_cell(shipped.value, key[0], own.vec_id.to_numpy(), np.stack(own.v.to_numpy()), asked.vec_id.to_numpy(), np.stack(asked.v.to_numpy()), k)
 
-    found = data.groupBy("cell", "part").cogroup(queries.groupBy("cell", "part")).applyInPandas(one, "query_id long, vec_id long, score double")
+    found = data.groupBy("cell", "part", "block").cogroup(queries.groupBy("cell", "part", "block")).applyInPandas(one, "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each whose vec_id is divisible by 100."""
     return search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
