@@ -80,15 +80,19 @@ def longest_run(runs: DataFrame, segments: DataFrame, by: list[str]) -> DataFram
     """Each group's longest run, the first on ties, and the first segment that starts in or after it."""
     order = Window.partitionBy(*by).orderBy(F.desc("n_windows"), "i_start")
     best = runs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    later = segments.select(*by, F.col("id").alias("_id"), F.col("start_ms").alias("_s")).join(best.select(*by, "t_start"), by).where(F.col("_s") >= F.col("t_start"))
-    first = later.groupBy(*by).agg(F.min_by("_id", F.struct("_s", "_id")).alias("suggest_seg"))
-    return best.join(first, by, "left")
+    begins = segments.groupBy(*by, "start_ms").agg(F.min("id").alias("suggest_seg"))
+    turned = begins.select(*by, (-F.col("start_ms")).alias("_s"), "suggest_seg")
+    found = timeline.range_assign(best.withColumn("_t", -F.col("t_start")), turned, by, "_t", "_s", ["_s", "suggest_seg"])  # the next start
+    return found.drop("_t", "_s")
 
 
 def windows_of_runs(windows: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
     """Flagged windows that start within a run's span; overlapping windows may reach past the run."""
     own = windows.where("flagged").select(*by, "i", "t0", "overlap")
-    return own.join(runs.select(*by, "i_start", "t_start", "t_end"), by).where(F.col("t0").between(F.col("t_start"), F.col("t_end"))).drop("t_start", "t_end")
+    spans = runs.select(*by, "i_start", "t_start", "t_end")
+    width = spans.agg(F.max(F.col("t_end") - F.col("t_start"))).first()[0]  # one number: bins as wide as the longest run
+    both = timeline.interval_join(own.withColumn("_t1", F.col("t0")), spans, by, ("t0", "_t1"), ("t_start", "t_end"), max(1, width or 1), closed=True)
+    return both.drop("_t1", "t_start", "t_end")
 
 
 def flagged(smoothed: Column, below: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,7 +37,9 @@ def forward_match(tokens: DataFrame, heard: DataFrame, by: list[str], reach: int
     n = F.size("heard")
     asked = heard.withColumn("_span", F.greatest(F.lit(1), F.floor(n * 13 / 10))).withColumn("_set", F.array_distinct("heard"))
     text = tokens.where(F.col("apos").isNotNull()).select(*by, "apos", "nw")
-    own = asked.join(text, by).where((F.col("apos") >= F.col("cursor")) & (F.col("apos") < F.col("cursor") + reach))
+    first = F.floor(F.col("cursor") / reach)
+    asked = asked.withColumn("_bin", F.explode(F.array(first, first + 1)))
+    own = asked.join(text.withColumn("_bin", F.floor(F.col("apos") / reach)), [*by, "_bin"]).where((F.col("apos") >= F.col("cursor")) & (F.col("apos") < F.col("cursor") + reach))
     keys = [*by, "item"]
     own = own.select(*keys, "_span", (F.col("apos") - F.col("cursor")).alias("_o"), "nw", F.array_contains("_set", F.col("nw")).alias("_hit"))
     # token o counts in the spans that start after its previous place and at most span - 1 before o
@@ -179,22 +183,27 @@ def locate(segments: DataFrame, heard: DataFrame, by: list[str], size: int = 60,
 
     A window is the whole segments from one on until they hold ``size`` words. Its score is the share of the
     distinct target words in it; only segments within ``margin`` of the estimate are tried, the first best one
-    wins, and without any hit the first of the range. Segments enter through an index on target words.
+    wins, and without any hit the first of the range. Segments enter through an index on target words, and scores are
+    running sums over two events a hit, so no window is ever built.
     """
     own = segments.select(*by, "seg", "words").withColumn("_n", F.size("words").cast("long"))
     own = timeline.cumulative(own, by, "seg", "_n", "_c0")
-    own = timeline.cumulative(own.withColumn("_one", (F.col("_n") > 0).cast("long")), by, "seg", "_one", "_rank")
+    # the first window that reaches a segment starts where less than ``size`` words lie between
+    reach = Window.partitionBy(*by).orderBy("_c0").rangeBetween(1 - size, Window.currentRow)
+    own = own.withColumn("_s0", F.min("seg").over(reach))
     total = own.groupBy(*by).agg((F.max("seg") + 1).alias("_total"))
     asked = heard.select(*by, "item", "est", F.array_distinct(F.slice("heard", 1, size)).alias("_t")).where(F.size("_t") > 0).join(total, by)
     asked = asked.withColumn("_lo", F.greatest(F.lit(0), F.col("est") - margin)).withColumn("_hi", F.least("_total", F.col("est") + margin))
     target = asked.select(*by, "item", "_lo", "_hi", F.size("_t").alias("_k"), F.explode("_t").alias("_w"))
-    filled = own.where("_n > 0")
-    # each segment with words is in the windows from it back to where they would hold ``size`` words before it
-    starts = own.select(*by, "seg", F.col("_c0").alias("_s0"), F.explode(F.sequence("_rank", F.col("_rank") + size - 1)).alias("_rank"))
-    inside = starts.join(filled.select(*by, "_rank", "_c0", F.array_distinct("words").alias("_u")), [*by, "_rank"]).where(F.col("_c0") - F.col("_s0") < size)
-    index = inside.select(*by, "seg", F.explode("_u").alias("_w")).distinct()
-    pairs = target.join(index, [*by, "_w"]).where((F.col("seg") >= F.col("_lo")) & (F.col("seg") < F.col("_hi")))
-    scored = pairs.groupBy(*by, "item", "_k", "seg").agg(F.count("*").alias("_h"))
+    index = own.where("_n > 0").select(*by, "seg", "_s0", F.explode(F.array_distinct("words")).alias("_w"))
+    # a word counts once in the windows that start at the segments from _from to seg, those of its last place left out
+    hits = target.join(index, [*by, "_w"]).where((F.col("seg") >= F.col("_lo")) & (F.col("_s0") < F.col("_hi")))
+    prior = F.lag("seg").over(Window.partitionBy(*by, "item", "_w").orderBy("seg"))
+    hits = hits.withColumn("_from", F.greatest("_s0", "_lo", F.coalesce(prior + 1, F.lit(0)))).withColumn("_to", F.least("seg", F.col("_hi") - 1)).where("_from <= _to")
+    steps = hits.select(*by, "item", "_k", F.inline(F.array(F.struct(F.col("_from").alias("seg"), F.lit(1).alias("_d")), F.struct((F.col("_to") + 1).alias("seg"), F.lit(-1).alias("_d")))))
+    change = steps.groupBy(*by, "item", "_k", "seg").agg(F.sum("_d").alias("_d"))
+    run = Window.partitionBy(*by, "item").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scored = change.withColumn("_h", F.sum("_d").over(run)).where("_h > 0")  # level up to the next change: its first segment stands for all
     best = scored.groupBy(*by, "item").agg(F.min(F.struct((-(F.col("_h") / F.col("_k"))).alias("s"), "seg")).alias("_b"))
     out = heard.select(*by, "item", "est", F.size("heard").alias("_z")).join(best, [*by, "item"], "left")
     first = F.when(F.col("_z") > 0, F.greatest(F.lit(0), F.col("est") - margin)).otherwise(F.col("est"))
@@ -204,7 +213,10 @@ def locate(segments: DataFrame, heard: DataFrame, by: list[str], size: int = 60,
 def refine(chunks: DataFrame, openings: DataFrame, by: list[str], window: int, least: float = 0.3) -> DataFrame:
     """The chunk (t) with the best overlap within ``window`` of the estimate; once more within 2.2 windows if that is
     below ``least``, kept only if better. The earliest of equal ones wins."""
-    own = openings.join(chunks, by).where(F.abs(F.col("t") - F.col("est")) <= 2.2 * window)
+    width = max(1, math.ceil(2.2 * window))  # both are dealt to bins, of which an opening looks into three
+    bin_ = lambda c: F.floor(F.col(c) / width)
+    own = openings.withColumn("_bin", F.explode(F.array(bin_("est") - 1, bin_("est"), bin_("est") + 1)))
+    own = own.join(chunks.withColumn("_bin", bin_("t")), [*by, "_bin"]).where(F.abs(F.col("t") - F.col("est")) <= 2.2 * window)
     n = F.size(F.array_distinct("opening"))
     own = own.withColumn("_ov", F.when(n > 0, F.size(F.array_intersect("opening", "heard")) / n).otherwise(F.lit(0.0)))
     key = F.struct((-F.col("_ov")).alias("s"), F.col("t").alias("t"))
@@ -232,9 +244,14 @@ def interpolate(anchors: DataFrame, wanted: DataFrame, totals: DataFrame, by: li
     own = anchors.select(*by, F.col("g0").cast("double").alias("g"), F.col("seg").alias("s")).unionByName(ends).distinct()
     order = Window.partitionBy(*by).orderBy("g", "s")
     spans = own.withColumn("_i", F.row_number().over(order)).withColumn("g1", F.lead("g").over(order)).withColumn("s1", F.lead("s").over(order)).where("s1 is not null")
-    both = wanted.join(spans, by).where(F.col("seg").between(F.col("s"), F.col("s1")))
+    # segments of spans rise, so the first span around a segment is the first whose end reaches it: an as-of join from above
+    tops = Window.partitionBy(*by).orderBy("_i")
+    spans = spans.withColumn("_top", F.max("s1").over(tops)).withColumn("_was", F.lag("_top").over(tops)).where(F.col("_was").isNull() | (F.col("_top") > F.col("_was")))
+    spans = spans.select(*by, F.coalesce(F.col("_was") + 1, F.lit(-(1 << 62))).alias("_from"), "s", "s1", "g", "g1", "_i")
+    both = timeline.range_assign(wanted.select(*by, "seg").distinct(), spans, by, "seg", "_from", ["_from", "s", "s1", "g", "g1"])
+    both = both.where(F.col("seg").between(F.col("s"), F.col("s1")))
     at = F.when(F.col("s1") == F.col("s"), F.col("g")).otherwise(F.col("g") + (F.col("g1") - F.col("g")) * (F.col("seg") - F.col("s")) / (F.col("s1") - F.col("s")))
-    first = both.groupBy(*by, "seg").agg(F.min_by(at, "_i").alias("_t"))
+    first = both.select(*by, "seg", at.alias("_t"))
     out = wanted.join(first, [*by, "seg"], "left").join(totals, by)
     return out.select(*wanted.columns, F.coalesce("_t", F.col("total_dur") * F.col("seg") / F.col("total_segs")).alias("time"))
 
@@ -254,10 +271,25 @@ def boundary_gate(chapters: DataFrame, anchors: DataFrame, tracks: DataFrame, by
 def exact_passages(texts: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """(doc_id, item_id) pairs where a text holds an item's whole normalised words in sequence.
 
-    Both sides meet on hashed runs of ``words`` words from the item's start, and only those pairs are compared.
+    Both sides meet on hashed runs of ``words`` words, or as many as a shorter item has; only the hashes of a text that
+    some item begins with leave it. The texts themselves then join the few pairs to be compared.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, F.lit(words)), " ")))
-    a = items.where(F.size("words") >= words).select("item_id", F.array_join("words", " ").alias("_item"), F.xxhash64(F.array_join(F.slice("words", 1, words), " ")).alias("_h"))
-    b = texts.where(F.size("words") >= words).select("doc_id", F.array_join("words", " ").alias("_text"), F.explode(F.array_distinct(grams(F.col("words")))).alias("_h"))
-    both = b.join(a, "_h").where(F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_item", F.lit(" "))))
-    return both.select("doc_id", "item_id").distinct()
+    begun = items.where(F.size("words") > 0).select("item_id", "words", F.least(F.size("words"), F.lit(words)).alias("_k"))
+    starts = begun.select("item_id", "_k", F.xxhash64(F.slice("words", F.lit(1), F.col("_k"))).alias("_h"))
+    sizes = sorted(r[0] for r in starts.select("_k").distinct().collect())  # at most ``words`` rows
+    if not sizes:
+        return texts.select("doc_id").join(items.select("item_id"), F.lit(False))
+    own = texts.select("doc_id", "words")
+
+    def runs_of(k: int) -> DataFrame:
+        hashes = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(k))))
+        return own.where(F.size("words") >= k).select("doc_id", F.lit(k).alias("_k"), F.explode(F.array_distinct(hashes)).alias("_h"))
+
+    runs = [runs_of(k) for k in sizes]
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.union(more)
+    pairs = every.join(starts, ["_k", "_h"]).select("doc_id", "item_id").distinct()
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    both = pairs.join(own.select("doc_id", joined("words").alias("_text")), "doc_id").join(begun.select("item_id", joined("words").alias("_item")), "item_id")
+    return both.where(F.contains("_text", F.col("_item"))).select("doc_id", "item_id").distinct()

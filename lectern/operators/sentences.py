@@ -9,7 +9,7 @@ from lectern.functions import text as T
 
 # Words after which a full stop ends no sentence.
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "st", "lt", "sgt", "capt", "vs", "etc", "no", "vol"]
-#: an end mark, closers that go, white space, and what may begin a sentence
+# Fixed value: an end mark, closers that go, white space, and what may begin a sentence
 BOUNDARY = "([.!?…])[\"”’')\\]]*\\s+([A-Z\"“\\[‘])"
 CUT = "\u001f"
 
@@ -42,14 +42,15 @@ def sentences(paragraphs: DataFrame, key: list[str], text: str = "line") -> Data
 
 
 def token_stream(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Every shown token with its place ``pos``, normal form ``nw`` and place ``apos`` among alignable ones (or null)."""
-    words = texts.select(*key, T.tokens(F.col(text)).alias("_w"))
-    words = words.withColumn("_n", F.transform("_w", T.norm_word))
-    out = words.select(*key, F.posexplode(F.arrays_zip(F.col("_w").alias("w"), F.col("_n").alias("nw"))).alias("pos", "t"))
-    out = out.select(*key, F.col("pos").cast("long"), F.col("t.w").alias("w"), F.col("t.nw").alias("nw"))
-    before = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.coalesce(F.sum((F.col("nw") != "").cast("long")).over(before), F.lit(0))
-    return out.withColumn("apos", F.when(F.col("nw") != "", n))
+    """Every shown token with its place ``pos``, normal form ``nw`` and place ``apos`` among alignable ones (or null).
+
+    Both places come from the text's own array, so nothing is shuffled or sorted.
+    """
+    place = F.transform(T.tokens(F.col(text)), lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("w"), T.norm_word(w).alias("nw")))
+    own = texts.select(*key, place.alias("_t"))
+    counted = F.transform(F.filter("_t", lambda t: t["nw"] != ""), lambda t, i: F.struct(t["pos"].alias("pos"), t["w"].alias("w"), t["nw"].alias("nw"), i.cast("long").alias("apos")))
+    others = F.transform(F.filter("_t", lambda t: t["nw"] == ""), lambda t: F.struct(t["pos"].alias("pos"), t["w"].alias("w"), t["nw"].alias("nw"), F.lit(None).cast("long").alias("apos")))
+    return own.select(*key, F.inline(F.concat(counted, others)))
 
 
 def running_ordinals(chapters: DataFrame, book: str = "book_id", order: str = "idx", count: str = "n_sentences") -> DataFrame:

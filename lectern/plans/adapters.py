@@ -14,20 +14,29 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+SHELF = 1000
+BOOK = f"concat_ws('/', source, doc_id // {SHELF})"
+
+
 def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
 
 
+def book():
+    """The book of a document: its source and its thousand of ids, so that no book grows with the table."""
+    return F.concat_ws("/", "source", F.floor(F.col("doc_id") / SHELF).cast("long")).alias("book_id")
+
+
 def units(spark, d):
-    """One unit per document: the book is its source, the place its rank by id."""
-    own = docs(spark, d).select(F.col("source").alias("book_id"), "doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("label"), T.alignable(F.col("text")).alias("words"), (F.col("n_chars") / 15.0).alias("seconds"))
+    """One unit per document; its place is its rank by id in its book."""
+    own = docs(spark, d).select(book(), "doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("label"), T.alignable(F.col("text")).alias("words"), (F.col("n_chars") / 15.0).alias("seconds"))
     own = own.withColumn("idx", (F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")) - 1).cast("long"))
     return own.withColumn("wps", F.when(F.col("seconds") > 0, F.col("words") / F.col("seconds")).otherwise(F.lit(0.0)))
 
 
-UNITS = r"""
+UNITS = rf"""
 units AS (
-  SELECT source AS book_id, doc_id, 'doc ' || doc_id AS label, words, n_chars / 15.0::DOUBLE AS seconds, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx,
+  SELECT {BOOK} AS book_id, doc_id, 'doc ' || doc_id AS label, words, n_chars / 15.0::DOUBLE AS seconds, row_number() OVER (PARTITION BY {BOOK} ORDER BY doc_id) - 1 AS idx,
          CASE WHEN n_chars > 0 THEN words / (n_chars / 15.0::DOUBLE) ELSE 0.0::DOUBLE END AS wps
   FROM (SELECT *, len(list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: trim(regexp_replace(lower(x), '[^a-z'']', '', 'g'), '''')), lambda x: x <> '')) AS words FROM documents)
 )"""
@@ -66,8 +75,8 @@ def heard(spark, d, size: int | None = None):
 
 
 def book_tokens(spark, d):
-    """All tokens of a source as one text, in the order of doc_id: (book_id, pos, apos, w, nw)."""
-    own = docs(spark, d).select(F.col("source").alias("book_id"), "doc_id", "text")
+    """All tokens of a book as one text, in the order of doc_id: (book_id, pos, apos, w, nw)."""
+    own = docs(spark, d).select(book(), "doc_id", "text")
     each = sentences.token_stream(own, ["book_id", "doc_id"])
     sizes = each.groupBy("book_id", "doc_id").agg(F.count("*").alias("_n"), F.count("apos").alias("_a"))
     before = Window.partitionBy("book_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,5 +87,5 @@ def book_tokens(spark, d):
 BOOK_WORDS = f"""
 bw AS (
   SELECT book_id, unnest(ws) AS nw, unnest(range(len(ws))) AS apos
-  FROM (SELECT source AS book_id, flatten(list({WORDS.format('text')} ORDER BY doc_id)) AS ws FROM documents GROUP BY source)
+  FROM (SELECT {BOOK} AS book_id, flatten(list({WORDS.format('text')} ORDER BY doc_id)) AS ws FROM documents GROUP BY 1)
 )"""

@@ -12,32 +12,28 @@ def wps_units(spark, d):
     return A.units(spark, d).select("book_id", "idx", "doc_id", "words", "seconds", F.round("wps", 9).alias("wps"))
 
 
-def _own(spark, d):
-    return A.units(spark, d).withColumn("wps", F.round("wps", 9))
-
-
 def wps_median_mad(spark, d):
-    return screen.median_mad(_own(spark, d)).select("book_id", "n", "n_finite", F.round("median", 9).alias("median"), F.round("mad", 9).alias("mad"))
+    return screen.median_mad(A.units(spark, d)).select("book_id", "n", "n_finite", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
 
 def wps_gate(spark, d):
-    own = screen.wps_gate(_own(spark, d))
-    return own.select("book_id", "idx", "doc_id", "wps", "reason", F.round("dev", 6).alias("dev"), "cause", "rank")
+    own = screen.wps_gate(A.units(spark, d))
+    return own.select("book_id", "idx", "doc_id", F.round("wps", 6).alias("wps"), "reason", F.round("dev", 6).alias("dev"), "cause", "rank")
 
 
 def wps_gate_tight(spark, d):
     """With a tolerance and band that many units break, so that all reasons occur."""
-    own = screen.wps_gate(_own(spark, d), 0.06, 2.2, 2.7)
-    return own.select("book_id", "idx", "doc_id", "wps", "reason", F.round("dev", 6).alias("dev"), "cause", "rank")
+    own = screen.wps_gate(A.units(spark, d), 0.06, 2.2, 2.7)
+    return own.select("book_id", "idx", "doc_id", F.round("wps", 6).alias("wps"), "reason", F.round("dev", 6).alias("dev"), "cause", "rank")
 
 
 def wps_gate_header(spark, d):
-    own = screen.wps_header(screen.wps_gate(_own(spark, d)))
-    return own.select("book_id", "n", "n_finite", F.round("median", 9).alias("median"), "too_few", "n_flagged", "systematic", "systematic_reason", "ok")
+    own = screen.wps_header(screen.wps_gate(A.units(spark, d)))
+    return own.select("book_id", "n", "n_finite", F.round("median", 6).alias("median"), "too_few", "n_flagged", "systematic", "systematic_reason", "ok")
 
 
 def wps_pairs(spark, d):
-    return screen.adjacent_pairs(screen.wps_gate(_own(spark, d), 0.06, 2.2, 2.7))
+    return screen.adjacent_pairs(screen.wps_gate(A.units(spark, d), 0.06, 2.2, 2.7))
 
 
 def wps_advisory(spark, d):
@@ -68,7 +64,7 @@ def coverage_gap(spark, d):
 QUERIES = {f.__name__: f for f in (wps_units, wps_median_mad, wps_gate, wps_gate_tight, wps_gate_header, wps_pairs, wps_advisory, starved, unmeasured_fallback, coverage_gap)}
 
 _OWN = "WITH " + A.UNITS + r""",
-own AS (SELECT book_id, idx, doc_id, round(wps, 9) AS wps FROM units),
+own AS (SELECT book_id, idx, doc_id, wps FROM units),
 med AS (SELECT book_id, count(*) AS n, median(wps) AS median FROM own GROUP BY 1),
 mads AS (SELECT book_id, any_value(n) AS n, any_value(median) AS median, median(abs(wps - median)) AS mad FROM own JOIN med USING (book_id) GROUP BY 1)
 """
@@ -86,13 +82,13 @@ flags AS (SELECT book_id, idx, doc_id, wps, n, median, reason, round(CASE WHEN m
 
 SQL = {
     "wps_units": "WITH " + A.UNITS + " SELECT book_id, idx, doc_id, words, seconds, round(wps, 9) AS wps FROM units",
-    "wps_median_mad": _OWN + "SELECT book_id, n, n AS n_finite, round(median, 9) AS median, round(mad, 9) AS mad FROM mads",
-    "wps_gate": _gate(0.35, 1.7, 3.5) + "SELECT book_id, idx, doc_id, wps, reason, dev, cause, rank FROM flags",
-    "wps_gate_tight": _gate(0.06, 2.2, 2.7) + "SELECT book_id, idx, doc_id, wps, reason, dev, cause, rank FROM flags",
+    "wps_median_mad": _OWN + "SELECT book_id, n, n AS n_finite, round(median, 6) AS median, round(mad, 6) AS mad FROM mads",
+    "wps_gate": _gate(0.35, 1.7, 3.5) + "SELECT book_id, idx, doc_id, round(wps, 6) AS wps, reason, dev, cause, rank FROM flags",
+    "wps_gate_tight": _gate(0.06, 2.2, 2.7) + "SELECT book_id, idx, doc_id, round(wps, 6) AS wps, reason, dev, cause, rank FROM flags",
     "wps_gate_header": _gate(0.35, 1.7, 3.5)
     + r""", h AS (SELECT book_id, any_value(n) AS n, any_value(median) AS m, count(reason) AS n_flagged FROM flags GROUP BY 1),
 s AS (SELECT *, CASE WHEN n < 5 THEN NULL WHEN m NOT BETWEEN 1.7 AND 3.5 THEN 'band' WHEN n_flagged > 0.40 * n THEN 'majority' END AS systematic_reason FROM h)
-SELECT book_id, n, n AS n_finite, round(m, 9) AS median, n < 5 AS too_few, n_flagged, systematic_reason IS NOT NULL AS systematic, systematic_reason, n_flagged = 0 AND systematic_reason IS NULL AS ok FROM s""",
+SELECT book_id, n, n AS n_finite, round(m, 6) AS median, n < 5 AS too_few, n_flagged, systematic_reason IS NOT NULL AS systematic, systematic_reason, n_flagged = 0 AND systematic_reason IS NULL AS ok FROM s""",
     "wps_pairs": _gate(0.06, 2.2, 2.7)
     + "SELECT a.book_id, a.idx, CASE WHEN a.cause = 'slack' THEN a.idx ELSE b.idx END AS low_idx, CASE WHEN a.cause = 'slack' THEN b.idx ELSE a.idx END AS high_idx FROM flags a JOIN flags b ON a.book_id = b.book_id AND b.idx = a.idx + 1 AND a.reason IS NOT NULL AND b.reason IS NOT NULL AND a.cause <> b.cause",
     "wps_advisory": "WITH " + A.UNITS + r""",

@@ -89,7 +89,7 @@ def toc_slice(spark, d):
 
 def running_ordinals(spark, d):
     own = sentences.lines(A.docs(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
-    own = A.docs(spark, d).select("doc_id", F.col("source").alias("book_id"), F.col("doc_id").alias("idx")).join(own, "doc_id", "left").fillna(0, ["n_sentences"])
+    own = A.docs(spark, d).select("doc_id", A.book(), F.col("doc_id").alias("idx")).join(own, "doc_id", "left").fillna(0, ["n_sentences"])
     return sentences.running_ordinals(own).select("book_id", "idx", "n_sentences", "seg", "skipped")
 
 
@@ -177,8 +177,8 @@ t AS (SELECT page_id, list_filter(list_transform(ps, lambda x: {_PLAIN.format('x
 SELECT page_id, unnest(range(len(ls))) AS para, unnest(ls) AS line FROM t""",
     "toc_order": "WITH " + _TOC + "SELECT * FROM toc",
     "toc_slice": "WITH " + _TOC + ", e AS (SELECT page_id, min(idx) FILTER (slug = 'the' OR starts_with(slug, 'the-')) AS a, max(idx) FILTER (slug = 'to' OR starts_with(slug, 'to-')) AS b FROM toc GROUP BY 1) SELECT toc.* FROM toc JOIN e USING (page_id) WHERE idx BETWEEN a AND b",
-    "running_ordinals": r"""
-WITH c AS (SELECT source AS book_id, doc_id AS idx, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n_sentences FROM documents)
+    "running_ordinals": rf"""
+WITH c AS (SELECT {A.BOOK} AS book_id, doc_id AS idx, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n_sentences FROM documents)
 SELECT book_id, idx, n_sentences, coalesce(sum(n_sentences) OVER (PARTITION BY book_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seg, n_sentences = 0 AS skipped FROM c""",
     "prose_quota": r"""
 WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
