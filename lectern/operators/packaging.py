@@ -110,3 +110,74 @@ def patched(manifest_: DataFrame, news: DataFrame, by: list[str]) -> DataFrame:
     """A manifest with the sentences and chapters of corrected tracks."""
     own = manifest_.join(news.select(*by, F.col("sentences").alias("_s"), F.col("chapters").alias("_c")), by, "left")
     return own.withColumn("sentences", F.coalesce("_s", "sentences")).withColumn("chapters", F.coalesce("_c", "chapters")).drop("_s", "_c")
+
+
+def text_slices(entries: DataFrame, sentences: DataFrame, by: list[str]) -> DataFrame:
+    """Sentences (seg) with the entry (idx, seg) of the track map whose slice they lie in; the last one runs to the end."""
+    starts = entries.select(*by, "idx", F.col("seg").alias("_from"))
+    return timeline.range_assign(sentences, starts, by, "seg", "_from", ["_from", "idx"]).where("idx IS NOT NULL").drop("_from")
+
+
+def units_from_track_map(entries: DataFrame, sentences: DataFrame, audio: DataFrame, by: list[str], words: str = "n_words") -> DataFrame:
+    """Units of a track map (idx, title, seg, tracks): words of their slice, seconds of their tracks and the rate.
+
+    sentences: seg and its alignable words; audio: track, dur_sec. ``error`` names what makes a map unusable: a start that
+    descends or lies beyond the text, a track without audio. A chapter's rate is 0 without words or seconds.
+    """
+    order = Window.partitionBy(*by).orderBy("idx")
+    total = sentences.groupBy(*by).agg((F.max("seg") + 1).alias("_total"))
+    own = entries.join(total, by, "left").withColumn("_next", F.coalesce(F.lead("seg").over(order), "_total"))
+    said = text_slices(entries, sentences, by).groupBy(*by, "idx").agg(F.sum(words).alias("words"))
+    each = entries.select(*by, "idx", F.explode("tracks").alias("track")).join(audio, [*by, "track"], "left")
+    heard = each.groupBy(*by, "idx").agg(F.sum("dur_sec").alias("seconds"), F.count_if(F.col("dur_sec").isNull()).alias("_none"))
+    own = own.join(said, [*by, "idx"], "left").join(heard, [*by, "idx"], "left")
+    own = own.withColumn("words", F.coalesce("words", F.lit(0))).withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
+    error = F.when(F.col("_next").isNull() | (F.col("_next") < F.col("seg")), "order").when(F.coalesce("_none", F.lit(0)) > 0, "track")
+    rate = F.when((F.col("words") > 0) & (F.col("seconds") > 0), F.col("words") / F.col("seconds")).otherwise(F.lit(0.0))
+    return own.select(*by, "idx", F.col("title").alias("label"), "words", "seconds", (F.col("seconds") / 60).alias("minutes"), rate.alias("wps"), error.alias("error"))
+
+
+def volume_counts(toc: DataFrame, by: list[str]) -> DataFrame:
+    """Chapters of each volume; those under no volume have a null one."""
+    return toc.groupBy(*by, "volume").agg(F.count("*").alias("n"))
+
+
+def single_marker(units: DataFrame, segments: DataFrame, markers: DataFrame, by: list[str]) -> DataFrame:
+    """The markers of each unit, or one with the unit's title at its first segment where it has none."""
+    first = segments.groupBy(*by, "unit").agg(F.min_by("start_ms", "id").alias("start_ms"))
+    bare = units.join(markers.select(*by, "unit").distinct(), [*by, "unit"], "left_anti").join(first, [*by, "unit"])
+    own = bare.select(*by, "unit", "title", "start_ms", F.lit(0).cast("long").alias("seg"))
+    return markers.select(*by, "unit", "title", "start_ms", F.col("seg").cast("long")).unionByName(own)
+
+
+def openings(chapters: DataFrame, lines: DataFrame, by: list[str], n_lines: int = 6, n_words: int = 45) -> DataFrame:
+    """The first words of each chapter (title, seg), from its first lines (seg, line), as one text; empty beyond the end."""
+    asked = chapters.select(*by, "title", F.col("seg").alias("_c"), F.explode(F.sequence(F.col("seg"), F.col("seg") + n_lines - 1)).alias("seg"))
+    own = asked.join(lines.select(*by, "seg", "line"), [*by, "seg"], "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("seg", "line")))), lambda x: x["line"]), " ")
+    own = own.groupBy(*by, "title", F.col("_c").alias("seg")).agg(text.alias("_t"))
+    return own.select(*by, "title", "seg", F.array_join(F.slice(T.tokens(F.col("_t")), 1, n_words), " ").alias("opening"))
+
+
+def without_ends(items: DataFrame, by: list[str], order: list, first: int = 0, last: int = 0) -> DataFrame:
+    """Ordered items without the first and the last few. The last ones go first, so little may be left for the others."""
+    up = Window.partitionBy(*by).orderBy(*order)
+    own = items.withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    return own.where((F.col("_i") > first) & (F.col("_i") <= F.col("_n") - last)).drop("_i", "_n")
+
+
+def is_credits(title):
+    """Marks of credits, which nothing is heard for."""
+    return F.coalesce(title.rlike("(?i)credits"), F.lit(False))
+
+
+def to_do(wanted: DataFrame, done: DataFrame, by: list[str], least_size: int = 1000) -> DataFrame:
+    """What incremental work does with each wanted output: ``skip``, ``run``, ``rerun`` (invalid) or ``delete`` (gapped, and run).
+
+    done: output_time, size, valid, gapped. An output that is as new as its input and large enough is skipped only if it
+    is valid and its audio is covered; a gapped one goes first, so that no later run takes it for a finished one.
+    """
+    own = wanted.join(done.select(*by, "output_time", "size", "valid", "gapped"), by, "left")
+    there = F.col("output_time").isNotNull() & (F.col("size") > least_size) & (F.col("output_time") >= F.col("input_time"))
+    action = F.when(F.col("output_time").isNull(), "run").when(F.col("gapped"), "delete").when(~F.col("valid"), "rerun").when(there, "skip").otherwise("run")
+    return own.withColumn("action", action)

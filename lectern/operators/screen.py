@@ -16,6 +16,11 @@ def rate(words: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, words / seconds).otherwise(F.lit(0.0))
 
 
+def auto_rate(words: Column, seconds: Column, default: Column) -> Column:
+    """A chapter's own rate at three places, the default one where there are no words or no seconds."""
+    return F.when((seconds > 0) & (words > 0), F.round(words / seconds, 3)).otherwise(default)
+
+
 def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 

@@ -128,6 +128,17 @@ def nearest(rows: DataFrame, segments: DataFrame, by: list[str], at: str, time:
     return both.withColumn(out, pick).drop("_t0", "_id0", "_t1", "_id1", "_neg")
 
 
+def local_segments(chapters: DataFrame, split: DataFrame, by: list[str]) -> DataFrame:
+    """Chapters (seg, start_ms in their track) with the segment of their track that they begin with, as ``local_seg``.
+
+    The chapter's own segment if it lies in the track, else the one that starts nearest, the first on ties, else 0.
+    """
+    exact = split.select(*by, F.col("id").alias("seg"), F.col("local_id").alias("_exact"))
+    own = chapters.join(exact, [*by, "seg"], "left")
+    own = nearest(own, split.select(*by, F.col("local_id").alias("id"), "start_ms"), by, "start_ms", "start_ms", "_near")
+    return own.withColumn("local_seg", F.coalesce("_exact", "_near", F.lit(0)).cast("long")).drop("_exact", "_near")
+
+
 def shift(segments: DataFrame, low: Column, high: Column, delta: Column) -> DataFrame:
     """Segments with ids in the closed range moved by ``delta`` ms, held at 0, their words with them."""
     inside = F.col("id").between(low, high)

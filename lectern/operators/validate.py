@@ -77,20 +77,58 @@ def require(found: DataFrame) -> None:
         raise InvalidDocument("; ".join(f"{r[0]}: {r.rule} at segment {r.seg}, word {r.word}" for r in first))
 
 
-def correct(segments: DataFrame, markers: DataFrame, ops: list[dict], by: str = "book_id") -> tuple[DataFrame, DataFrame]:
-    """Apply corrections in order (offset, set_boundary), renumber, and derive marker starts from segments anew.
+def broken_files(keys: DataFrame, key: str = "doc_key") -> DataFrame:
+    """Files that could not be read as a document, as violations."""
+    return keys.select(key, F.lit("ERROR").alias("level"), F.lit("json").alias("rule"), F.lit(None).cast("long").alias("seg"), F.lit(None).cast("long").alias("word"))
 
-    Only plans are composed here; nothing runs. An unknown operation is an error.
+
+def check_ops(ops: list[dict]) -> None:
+    """Raise before any plan is made if an operation is unknown or lacks what it needs."""
+    needs = {"offset": ("seg_range", "delta_sec"), "set_boundary": ("chapter", "seg"), "split_realign": ("at_seg",)}
+    for op in ops:
+        if op.get("op") not in needs:
+            raise ValueError(f"unknown operation {op.get('op')!r} (expected {', '.join(needs)})")
+        for name in needs[op["op"]]:
+            if op.get(name) is None:
+                raise ValueError(f"{op['op']} needs {name}")
+
+
+def correct(segments: DataFrame, markers: DataFrame, ops: list[dict], by: str = "book_id", realigned=None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Apply corrections in order, renumber, and derive marker starts from segments anew.
+
+    offset moves segments, set_boundary moves a marker, split_realign takes the two parts that ``realigned(op)`` gives
+    (first, second, lengths of the first) as one timeline with a marker for each; with ``dry_run`` it leaves the
+    segments as they are. Only plans are composed here; nothing runs.
     """
+    check_ops(ops)
     for op in ops:
-        if op.get("op") == "offset":
+        if op["op"] == "offset":
             low, high = op["seg_range"]
             segments = timeline.shift(segments, F.lit(low), F.lit(high), F.lit(int(round(op["delta_sec"] * 1000))))
-        elif op.get("op") == "set_boundary":
+        elif op["op"] == "set_boundary":
             markers = timeline.set_boundary(markers, segments, op["chapter"], op["seg"], op.get("title"), by)
-        else:
-            raise ValueError(f"unknown operation {op.get('op')!r}")
+        elif not dry_run:
+            if realigned is None:
+                raise ValueError("split_realign needs the parts aligned anew")
+            segments, markers = split_markers(*realigned(op), [p.get("title") for p in op.get("parts") or []], by)
     segments = timeline.renumber(segments.withColumnRenamed("id", "_old"), [by], ["_old"]).drop("_old")
     starts = segments.select(by, F.col("id").alias("seg"), F.col("start_ms").alias("_s"))
     markers = markers.join(starts, [by, "seg"], "left").withColumn("start_ms", F.coalesce("_s", "start_ms")).drop("_s")
     return segments, markers
+
+
+def split_markers(first: DataFrame, second: DataFrame, dur_ms: DataFrame, titles: list, by: str = "book_id") -> tuple[DataFrame, DataFrame]:
+    """Two parts as one timeline, and the markers of their first segments."""
+    both = timeline.stitch(first, second, dur_ms, by)
+    names = [(titles[k] if k < len(titles) and titles[k] else f"Part {k + 1}") for k in range(2)]
+    heads = both.groupBy(by, "part").agg(F.min("id").alias("seg"), F.min_by("start_ms", "id").alias("start_ms"))
+    marks = heads.select(by, (F.col("part") - 1).cast("long").alias("idx"), F.when(F.col("part") == 1, names[0]).otherwise(names[1]).alias("title"), "seg", "start_ms")
+    return both.select(by, "id", "start_ms", "end_ms"), marks
+
+
+def patch_document(tables: tuple[DataFrame, DataFrame], by: str = "book_id") -> DataFrame:
+    """What a manifest takes from a corrected document: its number of sentences and its chapters in order."""
+    segments, markers = tables
+    n = segments.groupBy(by).agg(F.count("*").alias("sentences"))
+    m = markers.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "title", "start_ms"))), lambda x: F.struct(x["title"].alias("title"), x["start_ms"].alias("start_ms"))).alias("chapters"))
+    return n.join(m, by, "left")

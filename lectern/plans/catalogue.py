@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text", "screening", "timelines", "matches", "flows")
+FAMILIES = ("text", "screening", "timelines", "matches", "flows", "files")
 
 
 def _modules():

@@ -87,6 +87,10 @@ def toc_slice(spark, d):
     return packaging.toc_slice(toc_order(spark, d), ["page_id"], "The", "to")
 
 
+def volume_counts(spark, d):
+    return packaging.volume_counts(toc_order(spark, d), ["page_id"])
+
+
 def running_ordinals(spark, d):
     own = sentences.lines(A.docs(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
     own = A.docs(spark, d).select("doc_id", A.book(), F.col("doc_id").alias("idx")).join(own, "doc_id", "left").fillna(0, ["n_sentences"])
@@ -119,7 +123,7 @@ def flat_words(spark, d):
     return D.flat_words(own, ["event_id"]).select("event_id", "w", F.round("s", 3).alias("s"), F.round("e", 3).alias("e"))
 
 
-QUERIES = {f.__name__: f for f in (norm_words, alignable_count, token_stream, sentence_split, sentence_glue, slug, selector_norm, natural_sort, clean_text, cache_name, ascii_snippet, ctc_collapse, page_title, page_paragraphs, toc_order, toc_slice, running_ordinals, prose_quota, line_lint, path_rules, sync_map, flat_words)}
+QUERIES = {f.__name__: f for f in (norm_words, alignable_count, token_stream, sentence_split, sentence_glue, slug, selector_norm, natural_sort, clean_text, cache_name, ascii_snippet, ctc_collapse, page_title, page_paragraphs, toc_order, toc_slice, volume_counts, running_ordinals, prose_quota, line_lint, path_rules, sync_map, flat_words)}
 
 _SPLIT = r"""
 marked AS (SELECT *, CASE WHEN starts_with(line, '[') AND ends_with(line, ']') THEN [line] ELSE
@@ -175,6 +179,7 @@ b AS (SELECT page_id, coalesce(nullif(regexp_extract(h, '(?is)<div[^>]*entry-con
 p AS (SELECT page_id, list_transform(string_split_regex(body, '(?i)<p(?:\s[^>]*)?>')[2:], lambda y: string_split_regex(y, '(?i)</p>|</article>|</div>|</main>')[1]) AS ps FROM b),
 t AS (SELECT page_id, list_filter(list_transform(ps, lambda x: {_PLAIN.format('x')}), lambda x: x <> '' AND NOT (length(x) < 60 AND (starts_with(lower(x), 'previous chapter') OR starts_with(lower(x), 'next chapter') OR starts_with(lower(x), 'author''s note:')))) AS ls FROM p)
 SELECT page_id, unnest(range(len(ls))) AS para, unnest(ls) AS line FROM t""",
+    "volume_counts": "WITH " + _TOC + "SELECT page_id, volume, count(*) AS n FROM toc GROUP BY ALL",
     "toc_order": "WITH " + _TOC + "SELECT * FROM toc",
     "toc_slice": "WITH " + _TOC + ", e AS (SELECT page_id, min(idx) FILTER (slug = 'the' OR starts_with(slug, 'the-')) AS a, max(idx) FILTER (slug = 'to' OR starts_with(slug, 'to-')) AS b FROM toc GROUP BY 1) SELECT toc.* FROM toc JOIN e USING (page_id) WHERE idx BETWEEN a AND b",
     "running_ordinals": rf"""
@@ -190,7 +195,7 @@ r AS (SELECT * FROM (VALUES ('[A-Z]{4,}!!', 'shouting'), ('(?i)token\s*=', 'secr
 SELECT doc_id, line_no, why, trim(x) AS line FROM l, r WHERE regexp_matches(x, p) AND NOT regexp_matches(x, '(#|//)\s*safe-pattern-ok')""",
     "path_rules": r"""
 WITH f AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'samples/' WHEN page_id % 7 = 0 THEN 'a/' ELSE '' END || list_filter(string_split(url, '/'), lambda p: p <> '')[-1] || CASE WHEN page_id % 3 = 0 THEN '.WAV' WHEN page_id % 4 = 0 THEN '.chapters.json' ELSE '.html' END AS path FROM pages),
-r AS (SELECT * FROM (VALUES ('^Reading/', 'raw audiobook source'), ('^samples/', 'alignment sample'), ('(?i)\.(wav|m4a|m4b|flac)$', 'uncompressed or full audio'), ('(^|/)book[0-9]+\.txt$', 'fetched prose'), ('\.chapters\.json$', 'fetched markers')) v(p, why))
+r AS (SELECT * FROM (VALUES ('^Reading/', 'raw audiobook source'), ('^samples/', 'alignment sample (real audio/text)'), ('(?i)\.(wav|m4a|m4b|flac)$', 'uncompressed / full audio'), ('(^|/)book12\.txt$', 'fetched author prose'), ('\.chapters\.json$', 'fetched chapter prose/markers')) v(p, why))
 SELECT path, why FROM f, r WHERE regexp_matches(path, p)""",
     "sync_map": r"""
 WITH f AS (SELECT conv_id, turn, array_to_string(list_filter([trim(text), trim(role)], lambda x: x <> ''), ' ') AS text, CASE WHEN turn % 5 <> 4 THEN round(turn * 1.25::DOUBLE, 3) END AS "start", round((turn + 1) * 1.25::DOUBLE, 3) AS "end" FROM conversations)

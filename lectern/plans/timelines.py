@@ -9,6 +9,7 @@ from lectern.operators import packaging, timeline, validate
 from lectern.plans import adapters as A
 
 BIN = 3_600_000
+OPS = [{"op": "offset", "seg_range": [5, 9], "delta_sec": -2.4}, {"op": "set_boundary", "chapter": 1, "seg": 7}, {"op": "offset", "seg_range": [7, 7], "delta_sec": 1.5}]
 
 
 def cum_offsets(spark, d):
@@ -87,8 +88,7 @@ def set_boundary(spark, d):
 
 def corrections(spark, d):
     seg = A.segments(spark, d).select("book_id", "id", "start_ms", "end_ms")
-    ops = [{"op": "offset", "seg_range": [5, 9], "delta_sec": -2.4}, {"op": "set_boundary", "chapter": 1, "seg": 7}, {"op": "offset", "seg_range": [7, 7], "delta_sec": 1.5}]
-    return validate.correct(seg, _marks(seg), ops)[1].select("book_id", "idx", "title", "seg", "start_ms")
+    return validate.correct(seg, _marks(seg), OPS)[1].select("book_id", "idx", "title", "seg", "start_ms")
 
 
 def stitch(spark, d):

@@ -43,6 +43,18 @@ def paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(key, F.posexplode(F.filter(texts, lambda x: (x != "") & ~chrome(x))).alias("para", "line")).withColumn("para", F.col("para").cast("long"))
 
 
+def bodyless(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Keys of pages without any of the known bodies; ``paragraphs`` gives no rows for them."""
+    return pages.where(_first(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), BODIES).isNull()).select(key)
+
+
+def require_bodies(pages: DataFrame, key: str = "page_id", html: str = "html") -> None:
+    """Raise ValueError if a page has no body."""
+    found = bodyless(pages, key, html).limit(5).collect()
+    if found:
+        raise ValueError("pages without a body: " + ", ".join(str(r[0]) for r in found))
+
+
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Headings and links in page order: (key, ord, kind, text, href)."""
     found = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, ""), F.lit(r"(?is)(<h[1-4][^>]*>.*?</h[1-4]>|<a\s[^>]*>.*?</a>)"), 1)

@@ -1,10 +1,16 @@
-"""Streams: sessions of timed events, and the sliding alignment window with an untrusted tail."""
+"""Streams: sessions of timed events, and the sliding alignment window with an untrusted tail.
+
+A stream that fails is started again from its checkpoint by whoever runs it; ``progressed`` tells a supervisor whether a start
+got anywhere, so that it can give up after a number of starts or of starts in vain.
+"""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,16 +75,91 @@ def commit_table(windows: DataFrame, safety: float = 12.0) -> DataFrame:
 
 
 def commit_stream(windows: DataFrame, safety: float = 12.0) -> DataFrame:
-    """Windows as they come, with the cursor in the state store; its checkpoint takes the place of a saved cursor file."""
+    """Windows as they come, with the cursor in the state store; its checkpoint takes the place of a saved cursor file.
+
+    Windows that come before their turn are held in the state until the steps before them are there, so the result
+    doesn't depend on how a chapter's windows are cut into batches; steps that are already done are left out. A chapter
+    holds few windows at a time, and its steps count from 0 without gaps.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cursor = Cursor(*state.get) if state.exists else Cursor()
-        cursor, out = _run(cursor, pd.concat(list(batches)), safety)
-        state.update((cursor.pos, cursor.clock, cursor.forced))
+        pos, clock, forced, done, held = state.get if state.exists else (0, 0.0, 0, 0, b"")
+        rows, done, held = in_turn(pd.concat(list(batches)), done, held)
+        cursor, out = _run(Cursor(pos, clock, forced), rows, safety)
+        state.update((cursor.pos, cursor.clock, cursor.forced, done, held))
         yield out
 
-    return windows.groupBy("key").applyInPandasWithState(step, COMMITS, "pos long, clock double, forced long", "append", GroupStateTimeout.NoTimeout)
+    return windows.groupBy("key").applyInPandasWithState(step, COMMITS, "pos long, clock double, forced long, done long, held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def in_turn(rows: pd.DataFrame, done: int, held: bytes) -> tuple[pd.DataFrame, int, bytes]:
+    """The windows whose turn it is, of new ones and held ones; the next step; and the ones to hold on."""
+    every = [r._asdict() for r in rows.itertuples(index=False)] + (pickle.loads(held) if held else [])
+    by = {int(r["step"]): r for r in sorted(every, key=lambda r: int(r["step"]), reverse=True)}
+    now = []
+    while done in by:
+        now.append(by.pop(done))
+        done += 1
+    later = [r for k, r in sorted(by.items()) if k > done]
+    return pd.DataFrame(now, columns=list(rows.columns)), done, pickle.dumps(later) if later else b""
+
+
+def progressed(before: int, after: int, attempts: int, vain: int, most: int = 20, most_vain: int = 2) -> tuple[str, int]:
+    """What a supervisor does after a failed start, and the starts in vain so far: ``again``, or ``give up`` after too many.
+
+    before, after: what was committed when the start began and ended.
+    """
+    vain = 0 if after > before else vain + 1
+    return ("give up" if vain >= most_vain or attempts >= most else "again"), vain
+
+
+class Buffer:
+    """Samples of an ordered list of blocks, read forward only: what is committed is dropped and never read again.
+
+    ``blocks`` gives arrays of samples of one rate; ``start`` is the clock at the first sample held, in seconds.
+    """
+
+    def __init__(self, blocks, rate: int):
+        self.blocks, self.rate = iter(blocks), rate
+        self.held, self.start, self.exhausted = np.zeros(0, np.float32), 0.0, False
+
+    def ensure(self, seconds: float) -> bool:
+        """Hold at least so many seconds, or all there is left."""
+        need = int(seconds * self.rate)
+        while len(self.held) < need and not self.exhausted:
+            block = next(self.blocks, None)
+            if block is None:
+                self.exhausted = True
+            else:
+                self.held = np.concatenate([self.held, np.asarray(block, np.float32)])
+        return len(self.held) >= need
+
+    def window(self, seconds: float) -> tuple[np.ndarray, bool]:
+        """The next samples, which stay held, and whether they are the last ones."""
+        self.ensure(seconds)
+        n = int(seconds * self.rate)
+        return self.held[:n].copy(), self.exhausted and len(self.held) <= n
+
+    def commit(self, seconds: float) -> None:
+        n = min(int(seconds * self.rate), len(self.held))
+        self.held = self.held[n:]
+        self.start += n / self.rate
+
+    @classmethod
+    def fast_forward(cls, durations: list[float], read, rate: int, target: float) -> Buffer:
+        """A buffer from ``target`` seconds on, without reading what lies before: ``read(k, seconds)`` gives the blocks of
+        file k from there on and of all files after it. Beyond the end it is exhausted."""
+        before = 0.0
+        for k, seconds in enumerate(durations):
+            if before + seconds > target:
+                own = cls(read(k, target - before), rate)
+                own.start = target
+                return own
+            before += seconds
+        own = cls((), rate)
+        own.start, own.exhausted = target, True
+        return own
 
 
 class EditAware:
@@ -92,6 +173,16 @@ class EditAware:
         self.status: list[tuple[int, str]] = []
         self.stopped = False
 
+    def saved(self) -> tuple:
+        """What a state store keeps between windows."""
+        a0, a1 = self.pending or (-1, -1)
+        return self.cursor.pos, self.cursor.clock, self.cursor.forced, self.since, self.dead, a0, a1, self.stopped
+
+    def load(self, pos, clock, forced, since, dead, a0, a1, stopped) -> None:
+        self.cursor, self.since, self.dead, self.stopped = Cursor(pos, clock, forced), since, dead, stopped
+        self.pending = (a0, a1) if a0 >= 0 else None
+        self.cuts = [self.pending] if self.pending else []
+
     def window(self, words, start, length, final, check) -> list[tuple[int, float, float]]:
         """One window. ``check`` is (decision, offset) of the check that would be made after it."""
         if self.stopped:
@@ -129,13 +220,32 @@ class EditAware:
 def edit_aware_table(windows: DataFrame, **settings) -> DataFrame:
     """(key, step, pos, s, e, status) over windows with columns decision and offset; CUT rows have no times."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, out, seen = EditAware(**settings), [], 0
-        for r in rows.sort_values("step").itertuples():
-            words = [(int(w["pos"]), float(w["s"]), float(w["e"])) for w in (r.words if r.words is not None else [])]
-            out += [(r.key, r.step, p, s, e, "ALIGNED") for p, s, e in own.window(words, r.start, r.length, bool(r.final), (r.decision, int(r.offset)))]
-            out += [(r.key, r.step, p, None, None, status) for p, status in own.status[seen:]]
-            seen = len(own.status)
-        return pd.DataFrame(out, columns=["key", "step", "pos", "s", "e", "status"])
+    return windows.groupBy("key").applyInPandas(lambda rows: _edit_aware(EditAware(**settings), rows), COMMITS + ", status string")
+
+
+def _edit_aware(own: EditAware, rows: pd.DataFrame) -> pd.DataFrame:
+    out, seen = [], len(own.status)
+    for r in rows.sort_values("step").itertuples():
+        words = [(int(w["pos"]), float(w["s"]), float(w["e"])) for w in (r.words if r.words is not None else [])]
+        out += [(r.key, r.step, p, s, e, "ALIGNED") for p, s, e in own.window(words, r.start, r.length, bool(r.final), (r.decision, int(r.offset)))]
+        out += [(r.key, r.step, p, None, None, status) for p, status in own.status[seen:]]
+        seen = len(own.status)
+    return pd.DataFrame(out, columns=["key", "step", "pos", "s", "e", "status"])
+
+
+def edit_aware_stream(windows: DataFrame, **settings) -> DataFrame:
+    """The same loop over windows as they come, with its state in the state store; windows wait for their turn."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own, done, held = EditAware(**settings), 0, b""
+        if state.exists:
+            *saved, done, held = state.get
+            own.load(*saved)
+        rows, done, held = in_turn(pd.concat(list(batches)), done, held)
+        out = _edit_aware(own, rows)
+        state.update((*own.saved(), done, held))
+        yield out
 
-    return windows.groupBy("key").applyInPandas(run, COMMITS + ", status string")
+    kept = "pos long, clock double, forced long, since double, dead long, a0 long, a1 long, stopped boolean, done long, held binary"
+    return windows.groupBy("key").applyInPandasWithState(step, COMMITS + ", status string", kept, "append", GroupStateTimeout.NoTimeout)
