@@ -148,41 +148,6 @@ def drift_chart(windows: list[tuple[float, float, bool]], title: str, below: flo
 def url_list(urls: DataFrame, header: str) -> DataFrame:
     """A list file's lines in order (idx, value): two comments, a blank line, then the links (url, idx); no links, the comments alone."""
     n = urls.agg(F.count("*").alias("_n"))
-    row = lambda idx, value: F.struct(F.lit(idx).cast("long").alias("idx"), value.alias("value"))
-    head = n.select(F.inline(F.array(row(-3, F.lit(f"# {header}")), row(-2, F.concat(F.lit("# "), "_n", F.lit(" chapters"))), row(-1, F.lit("")))))
-    return head.unionByName(own.select(*by, "t_start", "t0", (F.col("k") + 1).alias("k"), "line"))
-
-
-def profile_json(windows: DataFrame, runs: DataFrame, tracks: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON document a track: its settings, its windows in order, its runs, and how many windows passed."""
-    w = windows.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("i", "t0", "t1", F.round("overlap", 3).alias("overlap"), F.round("smoothed", 3).alias("smoothed"), "flagged"))).alias("windows"),
-        F.count("*").alias("n_windows"), F.count_if(~F.col("flagged")).alias("n_pass"), F.count_if(F.col("flagged")).alias("n_fail"),
-    )
-    r = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t_start", "t_end", "n_windows", "min_overlap", "mean_overlap"))).alias("runs"))
-    own = tracks.join(w, by, "left").join(r, by, "left")
-    rest = [c for c in tracks.columns if c not in by]
-    return own.select(*by, F.to_json(F.struct(*rest, "n_windows", "n_pass", "n_fail", F.coalesce("windows", F.array()).alias("windows"), F.coalesce("runs", F.array()).alias("runs"))).alias("value"))
-
-
-def cut_log(cuts: DataFrame, by: list[str]) -> DataFrame:
-    """The audit log of skipped text, counts only: no word of it is kept."""
-    return cuts.where("logged").select(*by, "a0", "a1", (F.col("a1") - F.col("a0")).alias("n_words"))
-
-
-def drift_chart(windows: list[tuple[float, float, bool]], title: str, below: float, width: int = 640, height: int = 160) -> str:
-    """A static SVG of one track's windows (minute, overlap, flagged), for a report; a bounded profile on the driver."""
-    from xml.sax.saxutils import escape
-
-    end = max((t for t, _, _ in windows), default=0.0) or 1.0
-    x, y = (lambda t: 40 + (width - 50) * t / end), (lambda v: 10 + (height - 40) * (1 - v))
-    dots = "".join(f'<circle cx="{x(t):.1f}" cy="{y(v):.1f}" r="3" fill="{"#c0392b" if bad else "#2874a6"}"/>' for t, v, bad in windows)
-    line = f'<line x1="40" x2="{width - 10}" y1="{y(below):.1f}" y2="{y(below):.1f}" stroke="#888" stroke-dasharray="4"/>'
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><title>{escape(title)}</title>{line}{dots}<text x="40" y="{height - 8}" font-size="12">{escape(title)}</text></svg>'
-
-
-def url_list(urls: DataFrame, header: str) -> DataFrame:
-    """A list file's lines in order (idx, value): two comments, a blank line, then the links (url, idx); no links, the comments alone."""
-    n = urls.agg(F.count("*").alias("_n"))
-    head = n.select(F.inline(F.array(F.struct(F.lit(-3).cast("long").alias("idx"), F.lit(f"# {header}").alias("value")), F.struct(F.lit(-2).cast("long"), F.concat(F.lit("# "), "_n", F.lit(" chapters"))), F.struct(F.lit(-1).cast("long"), F.lit("")))))
+    head = n.select(F.posexplode(F.array(F.lit(f"# {header}"), F.concat(F.lit("# "), F.col("_n").cast("string"), F.lit(" chapters")), F.lit(""))).alias("_p", "value"))
+    head = head.select((F.col("_p") - 3).cast("long").alias("idx"), "value")
     return head.unionByName(urls.select(F.col("idx").cast("long"), F.col("url").alias("value")))
