@@ -25,13 +25,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the document of the smallest id.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows without an id stay; of rows that repeat an id the one with the least (text, lang, source, n_chars) stays.
     """
     found = common.written(jaccard.near_duplicates(docs), "groups")
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     left = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id"])
+        least = left.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_m"))
+        left = least.select("doc_id", "_m.*").select(*COLUMNS)
     return left.union(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
