@@ -131,8 +131,8 @@ def manifest_patch(spark, d):
 def validate_doc(spark, d):
     """Users' events as documents, with faults planted by their numbers."""
     seg = A.segments(spark, d)
-    k = F.col("event_id")
-    docs = seg.select("book_id").distinct().select(F.col("book_id").alias("doc_key"), F.when(F.crc32("book_id") % 5 > 0, F.col("book_id")).otherwise(" ").alias("title"), F.when(F.crc32("book_id") % 7 > 0, F.lit("a.mp3")).alias("audio"))
+    k, user = F.col("event_id"), F.substring("book_id", 2, 20).cast("long")
+    docs = seg.select("book_id").distinct().select(F.col("book_id").alias("doc_key"), F.when(user % 5 > 0, F.col("book_id")).otherwise(" ").alias("title"), F.when(user % 7 > 0, F.lit("a.mp3")).alias("audio"))
     rows = seg.select(F.col("book_id").alias("doc_key"), F.col("id").alias("i"), F.when(k % 41 == 0, "true").when(k % 43 == 0, F.lit(None).cast("string")).when(k % 47 == 0, "-1.5").otherwise((F.col("start_ms") % 100000).cast("string")).alias("start"), F.when(k % 53 == 0, "NaN").otherwise((F.col("start_ms") % 100000 + F.col("len_ms") - 100).cast("string")).alias("end"), F.when(k % 59 > 0, F.col("text")).alias("text"))
     words = seg.where(k % 10 == 0).select(F.col("book_id").alias("doc_key"), F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.when(k % 30 > 0, "w").alias("w"), F.when(k % 70 > 0, "2").otherwise("x").alias("s"), F.when(k % 40 > 0, "3").otherwise("1").alias("e"))
     marks = seg.where(k % 9 == 0).select(F.col("book_id").alias("doc_key"), F.col("id").alias("i"), F.when(k % 27 > 0, "t").alias("title"), F.when(k % 18 > 0, "1").otherwise("-2").alias("start"), F.when(k % 36 > 0, F.col("id").cast("string")).otherwise("100000").alias("seg"))
@@ -185,7 +185,31 @@ fin AS (SELECT book_id, seg, pos, round(coalesce(s, prev), 3) AS s, round(coales
 """
 
 
+_RULES = _S + r""",
+docs AS (SELECT DISTINCT book_id, substr(book_id, 2)::BIGINT AS u FROM segs),
+n AS (SELECT book_id, count(*) AS n FROM segs GROUP BY 1),
+r AS (SELECT book_id, id, event_id AS k, CASE WHEN event_id % 41 = 0 OR event_id % 43 = 0 THEN NULL WHEN event_id % 47 = 0 THEN -1.5::DOUBLE ELSE (start_ms % 100000)::DOUBLE END AS s,
+  CASE WHEN event_id % 53 > 0 THEN (start_ms % 100000 + len_ms - 100)::DOUBLE END AS e FROM segs),
+t AS (SELECT *, greatest(coalesce(max(s) OVER (PARTITION BY book_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), -1) AS top FROM r),
+v AS (
+  SELECT book_id, 'ERROR' AS level, 'title' AS rule, NULL::BIGINT AS seg, NULL::BIGINT AS word FROM docs WHERE u % 5 = 0
+  UNION ALL SELECT book_id, 'ERROR', 'audio', NULL, NULL FROM docs WHERE u % 7 = 0
+  UNION ALL SELECT book_id, 'ERROR', 'segment.start', id, NULL FROM r WHERE s IS NULL OR s < 0
+  UNION ALL SELECT book_id, 'ERROR', 'segment.end', id, NULL FROM r WHERE e IS NULL
+  UNION ALL SELECT book_id, 'ERROR', 'segment.order', id, NULL FROM r WHERE e + 1e-6 < s
+  UNION ALL SELECT book_id, 'ERROR', 'segment.text', id, NULL FROM r WHERE k % 59 = 0
+  UNION ALL SELECT book_id, 'WARN', 'segment.monotone', id, NULL FROM t WHERE s + 1e-6 < top
+  UNION ALL SELECT book_id, 'ERROR', 'word.w', id, 0 FROM r WHERE k % 30 = 0
+  UNION ALL SELECT book_id, 'ERROR', 'word.s', id, 0 FROM r WHERE k % 10 = 0 AND k % 30 > 0 AND k % 70 = 0
+  UNION ALL SELECT book_id, 'ERROR', 'word.order', id, 0 FROM r WHERE k % 40 = 0 AND k % 30 > 0 AND k % 70 > 0
+  UNION ALL SELECT book_id, 'ERROR', 'chapter.title', id, NULL FROM r WHERE k % 27 = 0
+  UNION ALL SELECT book_id, 'ERROR', 'chapter.start', id, NULL FROM r WHERE k % 18 = 0
+  UNION ALL SELECT book_id, 'ERROR', 'chapter.seg', id, NULL FROM r JOIN n USING (book_id) WHERE k % 9 = 0 AND (k % 36 = 0 OR id >= n))
+SELECT book_id AS doc_key, level, rule, seg, word FROM v"""
+
+
 SQL = {
+    "validate_doc": _RULES,
     "assemble": _assembled(True) + "SELECT book_id, seg, arg_min(s, pos) AS \"start\", max(e) AS \"end\", count(*) AS n_words, string_agg(round(s * 1000)::BIGINT::VARCHAR, ',' ORDER BY pos) AS starts FROM fin GROUP BY book_id, seg",
     "assemble_all": _assembled(False) + "SELECT book_id, seg, arg_min(s, pos) AS \"start\", max(e) AS \"end\", count(*) AS n_words FROM fin GROUP BY book_id, seg",
     "cut_gaps": r"""

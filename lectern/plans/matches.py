@@ -204,8 +204,29 @@ sc AS (SELECT op.book_id, chapter, est, t, len(list_intersect(o, h))::DOUBLE / l
 be AS (SELECT book_id, chapter, min(struct_pack(s := -ov, t := t)) FILTER (near) AS a, min(struct_pack(s := -ov, t := t)) AS b FROM sc GROUP BY ALL),
 ref AS (SELECT book_id, chapter, CASE WHEN a IS NULL OR (-a.s < 0.99 AND b.s < a.s) THEN b ELSE a END AS p FROM be)
 """
-#: forward_match and resync_decision have none: SQL over all offsets is too slow; tests compare them with plain loops
+#: as the operator: a word counts once in a span, at its first place there, so scores are running sums over places
+_FORWARD = "WITH " + A.BOOK_WORDS + f""",
+books AS (SELECT DISTINCT {A.BOOK} AS book_id FROM documents),
+sizes AS (SELECT book_id, count(bw.nw) AS n FROM books LEFT JOIN bw USING (book_id) GROUP BY 1),
+cur AS (SELECT book_id, unnest(list_filter(range(0, greatest(n, 1), 1000), lambda c: c = 0 OR n - c > 40)) AS c FROM sizes),
+items AS (SELECT item_id AS item, ws, list_distinct(ws) AS hs, greatest(1, len(ws) * 13 // 10) AS s FROM (SELECT item_id, {A.WORDS.format('text')} AS ws FROM benchmark)),
+twice AS (SELECT book_id, nw, apos, unnest([apos // 1000 * 1000, apos // 1000 * 1000 - 1000]) AS c FROM bw),
+win AS (SELECT book_id, c, apos - c AS o, nw FROM twice SEMI JOIN cur USING (book_id, c) WHERE apos - c < 1500),
+p AS (SELECT *, lag(o) OVER (PARTITION BY book_id, c, nw ORDER BY o) AS pr, count(*) OVER (PARTITION BY book_id, c) AS m FROM win),
+spans AS (SELECT DISTINCT s FROM items),
+de AS (SELECT book_id, c, s, o, sum(d) AS d FROM (
+  SELECT book_id, c, s, greatest(coalesce(pr + 1, 0), o - s + 1, 0) AS o, 1 AS d FROM p, spans UNION ALL SELECT book_id, c, s, o + 1, -1 FROM p, spans) GROUP BY ALL),
+dd AS (SELECT book_id, c, s, p.o, m, sum(coalesce(d, 0)) OVER (PARTITION BY book_id, c, s ORDER BY p.o) AS d FROM (SELECT book_id, c, o, m, s FROM p, spans) p LEFT JOIN de USING (book_id, c, s, o)),
+words AS (SELECT item, s, unnest(hs) AS nw FROM items),
+he AS (SELECT book_id, c, item, o, sum(d) AS d FROM (
+  SELECT book_id, c, item, greatest(coalesce(pr + 1, 0), o - s + 1, 0) AS o, 1 AS d FROM p JOIN words USING (nw) UNION ALL SELECT book_id, c, item, o + 1, -1 FROM p JOIN words USING (nw)) GROUP BY ALL),
+hh AS (SELECT book_id, c, item, q.s, q.o, sum(coalesce(he.d, 0)) OVER (PARTITION BY book_id, c, item ORDER BY q.o) AS h FROM (SELECT book_id, c, o, item, s FROM p, items) q LEFT JOIN he USING (book_id, c, item, o)),
+sc AS (SELECT book_id, c, item, min(struct_pack(s := -(h / dd.d::DOUBLE), o := hh.o)) AS b FROM hh JOIN dd USING (book_id, c, s, o) WHERE h > 0 AND hh.o >= 40 AND hh.o <= m - greatest(1, s // 2) GROUP BY ALL),
+found AS (SELECT cur.book_id, items.item, cur.c AS cursor, coalesce(b.o, 0)::BIGINT AS best_off, round(coalesce(-b.s, 0.0::DOUBLE), 9) AS best_score FROM cur CROSS JOIN items LEFT JOIN sc ON sc.book_id = cur.book_id AND sc.c = cur.c AND sc.item = items.item)
+"""
 SQL = {
+    "forward_match": _FORWARD + "SELECT * FROM found",
+    "resync_decision": _FORWARD + """SELECT book_id, item, cursor, CASE WHEN (item % 10) / 10.0 >= 0.5 AND item % 8 > 0 THEN 'ok' WHEN best_score >= 0.6 AND best_off >= 40 THEN 'cut' WHEN (item % 10) / 10.0 >= 0.5 THEN 'ok' ELSE 'deadzone' END AS decision FROM found""",
     "probe_grid": _GRID + "SELECT * FROM grid",
     "probe_capped": _GRID
     + r""", n AS (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM grid)
