@@ -263,3 +263,31 @@ def test_pipeline(spark, small):
             for r in left.collect():
                 assert abs(len(r.text.encode()) - (want[r.doc_id][0] - want[r.doc_id][1])) <= 2 * want[r.doc_id][2]
     assert pipeline.run(spark, small).count() >= left.count()
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null ids and columns, repeated rows and ids, empty and long texts, and empty tables."""
+    import corpus_pipeline as pipeline
+
+    draw = random.Random(2)
+    en, de = "the cat and dog with house under green tree walking slowly".split(), "der hund und die katze mit haus unter grünem baum langsam".split()
+    prose = lambda words, n: " ".join(draw.choice(words) for _ in range(n))
+    rows = [(i, prose(en if i % 2 else de, 60), "en" if i % 2 else "de", "s", 1) for i in range(60)]
+    rows += [rows[0], (1, "zz " + rows[1][1], "en", None, None), (None, prose(en, 60), "en", "s", None), (90, None, "en", "s", 0), (91, "", None, None, None), (92, prose(en, 9000), None, "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(None, 1, None), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = docs
+    for _, stage in pipeline.STAGES[:3]:
+        left = common.written(stage(spark, left, str(tmp_path)), "odd")
+    got = {(r.doc_id, r.text) for r in left.collect()}
+    ids = [i for i, _ in got]
+    assert sorted(i for i in ids if i is not None) == [*range(60), 92] and ids.count(None) == 1 and left.columns == pipeline.COLUMNS
+    assert (1, min(rows[1][1], "zz " + rows[1][1])) in got and left.count() == 62
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == set(ids) and all(r.length <= 2048 for r in out)
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert pipeline.run(spark, str(empty)).count() == 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import sys
 import zlib
@@ -46,6 +48,70 @@ def test_kneser_ney_sums_to_one():
         assert abs(np.exp(k.log(codes)).sum() - 1) < 1e-6  # shares are kept in single precision
 
 
+def test_kneser_ney_like_a_plain_one():
+    """Counts and shares of every order in dictionaries of strings, summed up letter by letter."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abcde  ") for _ in range(120)) for _ in range(4)]
+    a = langid.Alphabet(texts)
+    k = langid.KneserNey(np.concatenate([a.codes(a.ids(t)) for t in texts]), a.order, a.bits, a.size)
+    shown = lambda t: "\0" * 4 + "".join(" " + " ".join(t.split()) + " " if t.strip() else "")
+
+    def grams(t):  # the last five letters up to each place after the first; zeros and spaces are the same sign
+        x = shown(t).replace("\0", " ")
+        return [x[i - 4 : i + 1] for i in range(5, len(x))]
+
+    counts: list[dict] = [{} for _ in range(6)]
+    for t in texts:
+        for g in grams(t):
+            counts[5][g] = counts[5].get(g, 0) + 1
+    for n in range(4, 0, -1):  # how many letters stand before
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return 1 / a.size
+        own = counts[len(g)]
+        ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+        after = [c for x, c in own.items() if x[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        return max(own.get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(g[1:])
+
+    for t in (texts[0], "abc dea xx", "e"):
+        got = k.log(a.codes(a.ids(t)))
+        want = [math.log(p(g.replace("x", "?"))) for g in grams(t)]
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_alphabet_keeps_the_order():
+    many = langid.Alphabet(["".join(map(chr, range(0x4E00, 0x4E00 + 6000)))])
+    assert many.order == langid.ORDER and many.bits * many.order <= 63 and len(many.letters) == langid.MOST_LETTERS
+    assert len(set(many.codes(many.ids("".join(many.letters[:50]))).tolist())) == 51
+
+
+def test_bounded_sample(spark):
+    """Of each class at most so many ids, repeats counted once, whole texts of any length, the same for any partitioning."""
+    from lectern.llm import common
+
+    rows = [(i, "a" if i % 3 else "b", "x" * (i % 50 + 1)) for i in range(3000)] + [(5, "a", "z")] * 500 + [(None, "a", "n"), (9000, None, "n"), (9001, "c", None), (9002, "c", "long " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    own = common.bounded_sample(df, "lang", 40, 10**6)
+    by = {}
+    for r in own:
+        by.setdefault(r.lang, []).append(r.doc_id)
+    assert {k: len(v) for k, v in by.items()} == {"a": 40, "b": 40, "c": 1} and len(own[-1].text or "x") > 0
+    assert len({r.doc_id for r in own}) == len(own) and next(r for r in own if r.lang == "c").text == "long " * 50_000
+    assert own == common.bounded_sample(df.repartition(7), "lang", 40, 10**6)
+    few = common.bounded_sample(df, "lang", 40, 100)
+    assert all(sum(len(r.text) for r in few if r.lang == k) < 100 + 50 for k in "ab")
+    rated = spark.createDataFrame([(i, i % 2) for i in range(3000)] + [(77_777, 1), (None, 0)], "doc_id long, quality int")
+    own = common.bounded_sample(df.select("doc_id", "text"), "quality", 25, 10**6, rated)
+    assert sorted(r.quality for r in own) == [0] * 25 + [1] * 25 and all(r.quality == r.doc_id % 2 for r in own)
+    assert common.bounded_sample(df.limit(0), "lang", 40, 100) == []
+
+
 def test_language_odd_rows(odd, empty):
     model = langid.train([("en", "the cat and the dog " * 20, 1), ("de", "der hund und die katze " * 20, 2)])
     own = {(r.doc_id, r.lang_pred, r.rejected) for r in langid.identify(odd, model, ["doc_id"]).collect()}
@@ -95,6 +161,45 @@ def test_quality_filter_held_out(spark):
     assert sum(kept(0)) <= 0.2 * len(kept(0)) and sum(kept(1)) >= 0.95 * len(kept(1))
 
 
+def test_quality_like_a_plain_one():
+    """Context vectors, pooling and the network with plain loops, from the model's own index vectors and weights."""
+    draw = random.Random(12)
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    texts = [" ".join(draw.choice(words[: 12 if y else 20]) for _ in range(30)) + (" ." if y else " 9 9") for y in (0, 1) * 30]
+    m = quality.Model(texts, [0, 1] * 30)
+    n = quality.UNKNOWN + len(m.ids)
+    names = [f"\0{k}" for k in range(quality.UNKNOWN)] + sorted(m.ids, key=m.ids.get)
+    places, signs = quality._index(names)
+    ids = [[m.ids.get(w, quality._shape(w)) for w in quality.TOKEN.findall(t)] for t in texts]
+    vectors = np.zeros((n, quality.SIZE))
+    for x in ids:
+        for i, a in enumerate(x):
+            for b in x[max(0, i - quality.WINDOW) : i] + x[i + 1 : i + 1 + quality.WINDOW]:
+                for k in range(quality.NONZERO):
+                    vectors[a, places[b, k]] += signs[b, k]
+    for a in range(n):
+        for k in range(quality.NONZERO):
+            vectors[a, places[a, k]] += signs[a, k] * 2
+        vectors[a] /= max(np.linalg.norm(vectors[a]), 1e-9)
+        vectors[a] *= math.log(1 + (len(ids) + 1) / (1 + sum(a in x for x in ids)))
+    assert np.allclose(m.vectors, vectors, atol=1e-5)
+
+    def score(text):
+        tokens = quality.TOKEN.findall(text)
+        x = [m.ids.get(w, quality._shape(w)) for w in tokens]
+        f = np.zeros(quality.FEATURES)
+        if x:
+            f[: quality.SIZE] = sum(vectors[a] for a in x) / len(x)
+            f[quality.SIZE :] = [sum(a < quality.UNKNOWN for a in x) / len(x), math.log1p(len(x)), len(set(tokens)) / len(x), *(sum(tokens[i] == tokens[i + d] for i in range(len(x) - d)) / len(x) for d in range(1, quality.NEAR + 1))]
+        f = (f - m.mean) / m.scale
+        w, b, v, c = m.net
+        hidden = [math.tanh(sum(f[i] * w[i, j] for i in range(len(f))) + b[j]) for j in range(quality.HIDDEN)]
+        return 1 / (1 + math.exp(-(sum(h * z for h, z in zip(hidden, v, strict=True)) + c[0]) / m.temperature))
+
+    asked = [*texts[:6], "", None, "wordz 99 WORD"]
+    assert np.allclose(m.scores(asked), [score(t or "") for t in asked], atol=1e-3)
+
+
 def test_quality_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score == 0.5 for r in quality.score(odd, quality.fit(odd, none), ["doc_id"]).collect())
@@ -104,11 +209,53 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.score(empty, model, ["doc_id"]).count() == 0
 
 
+def whole_ids(text):
+    """A text's ids as the library gives them for the whole text, and id 0."""
+    from tokenizers import Tokenizer
+
+    if "own" not in whole_ids.__dict__:
+        whole_ids.own = Tokenizer.from_file(packing.tokenizer_path())
+    return np.array([*whole_ids.own.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
 def test_packing_ids():
     own = packing.Ids(packing.tokenizer_path())
     texts = ["Der Σίσυφος ΟΔΟΣ.", "İstanbul ÀB.", "it's don't I'll x²³ a1b2 <|endoftext|> foo<|startoftext|>bar", "éÅ!!   x\x1cy", "", None, "日本語、テキスト。", "a_b__ ÷× naïve### été%%% ʼn ǆ ß ẞ éÉ́"]
+    draw = random.Random(4)
+    signs = "aAbZzsS'!~%.,<|>- \t\n\x0b\x0c\x1c\u00a0éÉßøØİıΣςσJǰ\u0301\u030cǅǆ日1²_\u212aŉªµ\u3000"
+    texts += ["".join(draw.choice(signs) for _ in range(draw.randrange(1, 10))) for _ in range(6000)]
+    texts += ["İ~", "vİ~}%", "J\u030c!", "<|ENDOFTEXT|>", "a<|EndOfText|>!", "<|endoftext|>A!"]
+    assert own.cut
     for t, got in zip(texts, own.encode(texts), strict=True):
-        assert got == np.array(own.tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes(), t
+        assert got == whole_ids(t), t
+
+
+def test_packing_ids_of_other_tokenizers():
+    """Steps that reach across white space: no text is cut."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, lib = packing.Ids(path), Tokenizer.from_file(path)
+    texts = ["Two words,  spaces!", "é\n\nx", "", None]
+    assert not own.cut
+    assert own.encode(texts) == [np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+
+
+def test_sums_are_all_sums():
+    draw = random.Random(9)
+    for _ in range(300):
+        have = [0] + [draw.randrange(0, 3) if draw.random() < 0.4 else 0 for _ in range(14)]
+        sums = packing.Sums(have)
+        for gap in draw.sample(range(1, 15), 14):
+            found = sums.fill(gap)
+            flat = [k for k, n in enumerate(have) for _ in range(n)]
+            there = any(sum(c) == gap for r in (1, 2, 3) for c in itertools.combinations(flat, r))
+            assert (found is not None) == there
+            if found:
+                assert sum(found) == gap and all(found.count(k) <= have[k] for k in found)
+                for k in found:
+                    have[k] -= 1
 
 
 def test_plan_is_a_packing():
@@ -135,7 +282,6 @@ def test_plan_is_a_packing():
 
 def test_packing_round_trip(odd, empty):
     own = packing.pack(odd, packing.tokenizer_path(), 64).collect()
-    ids = packing.Ids(packing.tokenizer_path())
     by: dict = {}
     for r in own:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -146,7 +292,7 @@ def test_packing_round_trip(odd, empty):
             at += n
         assert at <= 64
     for i, t in ODD:
-        x = ids.encode([t])[0]
+        x = whole_ids(t)
         found = sorted({(r.piece, r.start, r.length, r.ids_crc32) for r in own if r.doc_id == i})
         assert found == [(k, 64 * k, len(x[256 * k : 256 * k + 256]) // 4, zlib.crc32(x[256 * k : 256 * k + 256])) for k in range(-(-len(x) // 256))]
     assert packing.pack(empty, packing.tokenizer_path()).count() == 0
@@ -167,6 +313,99 @@ def test_html():
     assert htmltext.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+ARTICLE = "<article><h1>Head line</h1>" + "".join(f"<p>Paragraph {i}. {'Some words of the story here. ' * 12}</p>" for i in range(4)) + "</article>"
+MENU = "<nav><ul>" + "".join(f"<li><a href=x>Menu item {i}</a></li>" for i in range(8)) + "</ul></nav>"
+STORY = "Head line\n" + "\n".join(f"Paragraph {i}. {('Some words of the story here. ' * 12).strip()}" for i in range(4))
+
+
+@pytest.mark.parametrize("around", ['div class="content has-sidebar"', 'div class="post social-science"', 'div class="no-comments"', 'div id="ad-free"', "form action=x", "div"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_names_are_a_prior(around, tag):
+    """An article inside a container with a listed word stays; what has such a name beside it goes."""
+    art = ARTICLE.replace("article>", f"{tag}>")
+    more = '<div class="ad">Buy this now, and buy it here.</div><div class="comments"><p>Nice post!</p></div><div>&copy; 2024 Somebody</div>'
+    page = f"<body>{MENU}{more}<{around}>{art}</{around.split()[0]}>{more}<footer>End</footer></body>"
+    assert htmltext.main_text(page) == STORY
+
+
+def test_html_without_names():
+    """Only divs, links and paragraphs: density alone decides."""
+    menu = "<div>" + "".join(f"<a href=x>Menu item {i}</a> " for i in range(8)) + "</div>"
+    comments = "<h3>2 comments</h3><div><b>A</b><p>I do not agree with this at all.</p></div><div><b>B</b><p>Nor do I.</p></div>"
+    page = f"<body>{menu}<div>{ARTICLE.replace('article>', 'div>')}<div>{comments}</div></div>{menu}</body>"
+    assert htmltext.main_text(page) == STORY
+    assert htmltext.main_text(f"<body>{MENU}<div class=ad>Buy this now.</div><footer>x</footer>") == ""
+
+
+def test_html_density_is_the_formula():
+    """Characters, tags and links of every node of random trees counted anew from its own subtree."""
+    draw = random.Random(8)
+
+    def page(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return "".join(draw.choice(["word ", "of text ", '<a href="x">link it</a> ', ""]) for _ in range(draw.randrange(1, 9)))
+        tag = draw.choice(["div", "section", "span", "b"])
+        return f"<{tag}>" + "".join(page(depth - 1) for _ in range(draw.randrange(1, 4))) + f"</{tag}>"
+
+    def below(n):
+        return [n, *(y for x in n.parts if not isinstance(x, str) for y in below(x))]
+
+    def text(n):
+        return sum(len(" ".join(x.split())) if isinstance(x, str) else text(x) for x in n.parts)
+
+    def links(n):
+        return text(n) if n.tag == "a" else sum(links(x) for x in n.parts if not isinstance(x, str))
+
+    for _ in range(40):
+        root = htmltext.parse(page(5))
+        nodes = htmltext._order(root)
+        htmltext._measure(nodes)
+        assert nodes == below(root)
+        for n in nodes:
+            c, t, lc, lt = text(n), len(below(n)) - 1, links(n), sum(x.tag == "a" for x in below(n)[1:])
+            want = 0.0
+            if c:
+                base = math.log(math.log(c / max(c - lc, 1) * lc + links(root) / max(text(root), 1) * c + math.e))
+                want = c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / (base if base > 1e-9 else 1.0)
+            assert (n.chars, n.tags) == (c, t) and math.isclose(n.density, want, rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_html_is_the_article_of_all_pages(d):
+    """The test pages hold one article element each; its blocks by plain patterns."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    if not Path(d).is_dir():
+        pytest.skip("no test tables")
+    for page in pq.read_table(f"{d}/pages.parquet").column("html").to_pylist():
+        inner = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1]
+        inner = re.sub(r"<(div|aside|form)\b[^>]*>.*?</\1>|<script.*?</script>", "", inner, flags=re.DOTALL)
+        blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|section|blockquote)\b[^>]*>", inner)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", b))).split()) for b in blocks]
+        assert htmltext.main_text(page) == "\n".join(b for b in blocks if b)
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>" + "long text " * 50_000 + "</p>", "x"), (4, "u", ARTICLE, "x"), (4, "u", ARTICLE, "x"), (None, "u", "<p>one</p>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    own = sorted(((r.page_id, r.text, r.n_chars) for r in htmltext.extract(pages).collect()), key=repr)
+    long = ("long text " * 50_000).strip()
+    assert own == sorted([(1, "", 0), (2, "", 0), (3, long, len(long)), (4, STORY, len(STORY)), (4, STORY, len(STORY)), (None, "one", 3)], key=repr)
+    assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("call", [
+    lambda df: quality.score(df, None, ["doc_id", "score"]), lambda df: langid.identify(df, None, ["lang_pred"]), lambda df: htmltext.extract(df, ("n_chars",)),
+    lambda df: pieces.encode(df, "", ("doc_id", "ids_crc32")), lambda df: media.media_columns(df, keep=("feature",)), lambda df: langid.identify(df, None, ["doc_id", "doc_id"]),
+])
+def test_clashing_names_are_refused(odd, call):
+    with pytest.raises(ValueError, match="clash"):
+        call(odd)
+
+
 def test_html_table(spark, small):
     own = htmltext.op3_html_text(spark, small).collect()
     assert len(own) == 50 and all(r.n_chars == len(r.text) and r.text for r in own)
@@ -224,6 +463,38 @@ def test_media_round_trip():
         media.store(b"x")
 
 
+def plain_media(file):
+    """The samples and the sync ranges of a file, by searching for its boxes; for files with 32-bit places only."""
+
+    def table(kind):
+        at = file.index(kind) + 8
+        return at, int.from_bytes(file[at : at + 4], "big")
+
+    number = lambda at: int.from_bytes(file[at : at + 4], "big")
+    at, _ = table(b"stsz")
+    size, n = number(at), number(at + 4)
+    at, chunks = table(b"stco")
+    starts = [number(at + 4 + 4 * k) for k in range(chunks)]
+    at, runs = table(b"stsc")
+    rows = [tuple(number(at + 4 + 12 * k + 4 * j) for j in range(3)) for k in range(runs)]
+    per = [next(r[1] for r in reversed(rows) if r[0] <= k + 1) for k in range(chunks)]
+    places = [s + size * i for s, c in zip(starts, per, strict=True) for i in range(c)]
+    assert len(places) == n
+    at, m = table(b"stss")
+    return b"".join(file[p : p + size] for p in places), [(places[number(at + 4 + 4 * k) - 1],) * 2 for k in range(m)]
+
+
+def test_media_like_a_plain_reader():
+    for n in (1, 64, 64 * 1024, 64 * 1025, 64 * 5000 + 3):
+        payload = media.pad(random.Random(n).randbytes(n))
+        file = media.store(payload)
+        raw, ranges = plain_media(file)
+        t = media.tracks(file)[0]
+        assert raw == payload == media.read(file)
+        assert [a for a, _ in ranges] == t["at"][t["sync"]].tolist() == [file.index(b"mdat") + 4 + 64 * 125 * k for k in range(len(ranges))]
+        assert f"ranges={ranges[0][0]}-{ranges[0][0] + 64},{ranges[-1][0]}-{ranges[-1][0] + 64}" in media.feature(file)
+
+
 def test_media_odd_rows(odd, empty):
     own = media.media_columns(odd).collect()
     for r in own:
@@ -241,16 +512,36 @@ def test_pieces_like_the_library():
     proto = pb.ModelProto()
     proto.ParseFromString(Path(pieces.model_path()).read_bytes())
     proto.trainer_spec.model_type = 1  # the library's own lattice search over the same pieces and scores
-    lib, own = SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces.Pieces(pieces.model_path(), best=6)
+    lib, own = SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces.Pieces(pieces.model_path())
     score = lambda ids: sum(lib.get_score(i) for i in ids)
-    for text in ("a", "the cat sat", "unbelievable words, well", "aaaa bbbb", "Entwicklung und Freude", "x" * 60):
+    long = ("Les élèves étaient arrivés. " * 3 + "Größe, Maße und Öl; mañana será otro día. " * 2).strip()
+    for text in ("a", "the cat sat", "unbelievable words, well", "aaaa bbbb", "Entwicklung und Freude", "x" * 60, long, "Всё смешалось в доме", "naïve café 123-456", "mississippi " * 8):
         assert [score(i) for i, _ in own.nbest(text, 5)] == [score(i) for i in lib.nbest_encode_as_ids(text, 5)]
+        words, _ = own.known([text])
+        known = own.solved
+        assert float(known.best[words].sum()) == score(lib.nbest_encode_as_ids(text, 2)[0])
+        assert float(known.best[words].sum() - known.loss[words].min()) == score(lib.nbest_encode_as_ids(text, 2)[-1])
     for text in ("", "two  spaces ", "tab\tline\n", "日本語 x", "é" * 70, " lead"):
         best = own.nbest(text, 2)
         assert own.decode(best[0][0]) == text
         assert len(best) < 2 or best[0][1] >= best[1][1]
 
 
+def test_two_best_are_those_of_the_heap():
+    own = pieces.Pieces(pieces.model_path())
+    draw = random.Random(7)
+    words = [" " + "".join(draw.choice("aeinrstlodé日") for _ in range(draw.randrange(1, 14))) for _ in range(300)] + ["  two", " " + "ab" * 40, "   "]
+    own.solve(sorted(set(words)))
+    known = own.solved
+    for w in words:
+        k, found = known.number[w], own.search(w, 2)
+        assert known.ids[known.at[k] : known.at[k] + known.count[k]].tolist() == found[0][0] and known.best[k] == found[0][1]
+        if len(found) > 1:
+            assert known.ids[known.at2[k] : known.at2[k] + known.count2[k]].tolist() == found[1][0] and known.best[k] - known.loss[k] == found[1][1]
+        else:
+            assert known.loss[k] == np.inf
+
+
 def test_pieces_odd_rows(odd, empty):
     own = pieces.encode(odd, pieces.model_path(), with_ids=True).collect()
     assert all(r.round_trip and r.n_pieces == len(r.ids) and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in own)
