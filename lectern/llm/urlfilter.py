@@ -66,22 +66,20 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     A host with nulls only has the prior of its domain, else of its suffix, else of all pages.
     Pages are summed by host before anything else, so a host with a third of all pages is one row a task.
     """
-    every = _levels(outcomes.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.count("good").cast("double").alias("n")))
+    every = common.written(_levels(outcomes.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.count("good").cast("double").alias("n"))), "hosts")
     hosts = every.where("n > 0")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    everything = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean")).withColumn("_one", F.lit(1))
-    weight = _strength(suffixes.withColumn("_one", F.lit(1)), ["_one"])
-    everything = everything.join(weight, "_one", "left").withColumn("weight", F.coalesce("weight", F.lit(20.0)))  # a single row
-    top = suffixes.withColumn("_one", F.lit(1)).join(F.broadcast(everything), "_one")
-    top = top.select("suffix", ((F.col("good") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("mean"))
+    # one row each: the prior of all pages
+    mean = F.lit(suffixes.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).first()[0])
+    weight = F.lit(_strength(suffixes, []).first()["weight"])
+    top = suffixes.select("suffix", ((F.col("good") + mean * weight) / (F.col("n") + weight)).alias("mean"))
     under = top.join(_strength(domains, ["suffix"]), "suffix")
     middle = domains.join(under, "suffix")
     middle = middle.select("domain", ((F.col("good") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("mean"))
     middle = middle.join(_strength(hosts, ["domain"]), "domain")
     own = every.join(middle.withColumnsRenamed({"mean": "_m0", "weight": "_w0"}), "domain", "left").join(under.withColumnsRenamed({"mean": "_m1", "weight": "_w1"}), "suffix", "left")
-    own = own.withColumn("_one", F.lit(1)).join(F.broadcast(everything.withColumnsRenamed({"mean": "_m2", "weight": "_w2"})), "_one")
-    own = own.withColumn("mean", F.coalesce("_m0", "_m1", "_m2")).withColumn("weight", F.coalesce("_w0", "_w1", "_w2"))
+    own = own.withColumn("mean", F.coalesce("_m0", "_m1", mean)).withColumn("weight", F.coalesce("_w0", "_w1", weight))
     a, b = F.col("good") + F.col("mean") * F.col("weight"), F.col("n") - F.col("good") + (1 - F.col("mean")) * F.col("weight")
     return own.select("host", (a / (a + b)).alias("reputation"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
 
@@ -90,7 +88,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and reputation of every page.
 
     ``outcomes`` has page_id and good (0 or 1; other values and nulls are left out). A host without outcomes
-    is judged by what is known of its domain, suffix or all pages. Repeated pages are judged as often as they occur.
+    is judged by what is known of its domain, suffix or all pages. Repeated pages are judged as often as they occur. Null urls
+    and those without ``://`` have the empty host, and so one reputation.
     """
     split = with_host_path(pages.select("page_id", "url"))
     known = outcomes.where(F.col("good").isin(0, 1) & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.min("good").alias("good"))
