@@ -179,31 +179,34 @@ def feature(data) -> str:
 
 
 def media_columns(documents: DataFrame, text: str = "text", keep: tuple = ("doc_id",), with_file: bool = False) -> DataFrame:
-    """Each text as a container file, with what reading it back gives. Null counts as empty; one pass, no shuffle.
+    """Each text as a container file, with what reading it back gives: codec, time scale, duration in its units, and the byte
+    ranges of the sync samples in the file, all without decoding a sample. Null counts as empty; repeated rows give
+    equal files; one pass, no shuffle.
 
-    ``with_file`` adds the file itself and the sync samples' byte ranges.
+    ``with_file`` adds the file itself. Columns in ``keep`` with the name of an added one are refused.
     """
     n = len(keep)
-    common.fresh(list(keep), ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(("media", "sync_ranges") if with_file else ())])
+    common.fresh(list(keep), ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "time_scale", "duration", "sync_ranges", *(("media",) if with_file else ())])
     source = documents.select(*keep, F.col(text).alias("_stored"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
     schema += ", n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    schema += ", codec string, time_scale long, duration long, sync_ranges array<struct<start:long,stop:long>>"
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "time_scale", "duration", "sync_ranges"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
     if with_file:
-        schema += ", media binary, sync_ranges array<struct<start:long,stop:long>>"
-        names += ["media", "sync_ranges"]
-        kinds += [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
+        schema += ", media binary"
+        names.append("media")
+        kinds.append(pa.binary())
 
     def one(value) -> tuple:
         raw = b"" if value is None else value.encode("utf-8", "surrogatepass")
         media = store(pad(raw))
         back = read(media)
+        t = tracks(media)[0]
+        ranges = [{"start": a, "stop": b} for a, b in zip(t["at"][t["sync"]].tolist(), (t["at"] + t["sizes"])[t["sync"]].tolist(), strict=True)]
         row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(media))
-        if with_file:
-            t = tracks(media)[0]
-            row += (media, [{"start": a, "stop": a + UNIT} for a in t["at"][t["sync"]].tolist()])
-        return row
+        row += (t["codec"], t["scale"], t["duration"], ranges)
+        return row + ((media,) if with_file else ())
 
     def run(batches):
         for batch in batches:
@@ -217,4 +220,5 @@ def media_columns(documents: DataFrame, text: str = "text", keep: tuple = ("doc_
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in a container file and read back."""
     return media_columns(common.table(spark, sf_dir, "documents"))

@@ -413,4 +413,5 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier."""
     return removed(common.table(spark, sf_dir, "documents"))
