@@ -248,7 +248,8 @@ def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     common.fresh(keep, ["lang_pred", "score", "bits", "rejected"])
     spark = documents.sparkSession
     shipped = spark.sparkContext.broadcast(model)
-    source = documents.select(*keep, F.col("text").alias("_scored"))
+    at = keep.index("text") if "text" in keep else len(keep)  # a text travels once
+    source = documents.select(*keep) if "text" in keep else documents.select(*keep, F.col("text").alias("_scored"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
 
     def run(batches):
@@ -256,7 +257,7 @@ def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, ROWS):
                 part = batch.slice(s, ROWS)
-                names, p, bits, rejected = own.judge(part.column(len(keep)).to_pylist())
+                names, p, bits, rejected = own.judge(part.column(at).to_pylist())
                 added = [pa.array(names, pa.string()), pa.array(p, pa.float64()), pa.array(bits, pa.float64(), from_pandas=True), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *added], names=[*keep, "lang_pred", "score", "bits", "rejected"])
 

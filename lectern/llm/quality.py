@@ -186,7 +186,8 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     common.fresh(keep, ["score"])
     shipped = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.select(*keep, F.col("text").alias("_scored"))
+    at = keep.index("text") if "text" in keep else len(keep)  # a text travels once
+    source = documents.select(*keep) if "text" in keep else documents.select(*keep, F.col("text").alias("_scored"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
 
     def run(batches):
@@ -194,7 +195,7 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, ROWS):
                 part = batch.slice(s, ROWS)
-                scores = own.scores(part.column(len(keep)).to_pylist())
+                scores = own.scores(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     return source.mapInArrow(common.lean(run), f"{schema}, score double")
