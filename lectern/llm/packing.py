@@ -13,7 +13,6 @@ import json
 import re
 import unicodedata
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 LENGTH = 2048
-WORDS_KEPT = 150_000  # words whose ids a task remembers, and parts of words; it starts anew beyond that
-PARTS_KEPT = 300_000
+WORDS_KEPT = 300_000  # words whose ids a task remembers, and parts of words; it starts anew beyond that
+PARTS_KEPT = 400_000
 SPARED = (0, 1 / 32, 1 / 8, 1 / 2)  # shares of the tokens that the exact phase may leave to best fit
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a piece with letters after it
 
@@ -58,6 +57,8 @@ class Ids:
             and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
             and all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not any(c.isspace() for c in x["content"]) for x in own["added_tokens"])
         )
+        self.between = next(((x["content"], x["id"]) for x in own["added_tokens"] if x["special"] and "<|" in x["content"]), None)
+        self.cut = self.cut and self.between is not None
         letters = "".join(c for c in map(chr, range(0x61, 0x250)) if self._apart(c))
         self.ends = re.compile(f"([{letters}]+)([{re.escape(MARKS)}]+)") if self.cut and letters else None
 
@@ -87,15 +88,33 @@ class Ids:
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
 
+    def _tokens(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. Many are tokenised as one text, with a special token between them that the file takes out of
+        a text before any step."""
+        sign, number = self.between
+        ids = np.array(self.tokenizer.encode_batch_fast([sign.join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        edge = np.flatnonzero(ids == number)
+        if len(edge) != len(parts) - 1:
+            raise ValueError("the tokenizer doesn't keep its special token")
+        raw = ids.tobytes()
+        starts, ends = [0, *(4 * edge + 4).tolist()], [*(4 * edge).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+
     def _learn(self, words: list[str]) -> None:
-        split = [(m[1], m[2]) if (m := self.ends.fullmatch(w)) else (w,) for w in words]
+        find = self.ends.fullmatch
+        split = [m.groups() if (m := find(w)) else (w,) for w in words]
         parts = self.parts
         if len(parts) > PARTS_KEPT:
             parts.clear()
-        new = list({p for s in split for p in s}.difference(parts))
+        new = list(set().union(*split).difference(parts))
+        signs = [p for p in new if "<|" in p]
+        for p, e in zip(signs, self.tokenizer.encode_batch_fast(signs, add_special_tokens=False), strict=True):
+            parts[p] = np.array(e.ids, "<u4").tobytes()
+        if signs:
+            new = [p for p in new if "<|" not in p]
         for s in range(0, len(new), 20_000):
             part = new[s : s + 20_000]
-            parts.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            parts.update(zip(part, self._tokens(part), strict=True))
         self.words.update((w, parts[s[0]] if len(s) == 1 else parts[s[0]] + parts[s[1]]) for w, s in zip(words, split, strict=True))
 
     def encode(self, texts: list) -> list[bytes]:
