@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import timeline
 
 
@@ -97,3 +98,9 @@ def windows_of_runs(windows: DataFrame, runs: DataFrame, by: list[str]) -> DataF
 
 def flagged(smoothed: Column, below: float) -> Column:
     return smoothed < below
+
+
+def word_counts(windows: DataFrame, aligned: str = "align_text", heard: str = "heard_text") -> DataFrame:
+    """Adds n_aligned and n_heard: the distinct words of each window's text and of what was heard there."""
+    count = lambda c: F.coalesce(F.size(F.array_distinct(T.words_of(F.col(c)))).cast("long"), F.lit(0).cast("long"))
+    return windows.withColumn("n_aligned", count(aligned)).withColumn("n_heard", count(heard))

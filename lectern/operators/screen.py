@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+
 LEAST_UNITS = 5  # a median of fewer units is not trusted
 MOST_FLAGGED = 0.40  # a larger share of flagged units is a systematic failure
 
@@ -122,6 +124,16 @@ def durations(units: DataFrame, audio: DataFrame, manifest: DataFrame, planned:
     return own.withColumn("measured", F.col("minutes").isNotNull()).withColumn("wps", F.coalesce(rate(F.col("words"), F.col("minutes") * 60), F.lit(0.0)))
 
 
+def units_from_documents(tables: dict[str, DataFrame], audio: DataFrame, manifest: DataFrame, planned: DataFrame, key: str = "doc_key") -> DataFrame:
+    """Units of per-track documents: label, words of all segments, and minutes of the track by ``durations``.
+
+    tables: docs with title and ``track``, segments with text; the track's number is the join key of the three sources.
+    """
+    n = tables["segments"].groupBy(key).agg(F.sum(T.alignable(F.col("text"))).alias("words"))
+    own = tables["docs"].join(n, key, "left").select(key, "track", F.col("title").alias("label"), F.coalesce("words", F.lit(0)).alias("words"))
+    return durations(own, audio, manifest, planned)
+
+
 def coverage(books: DataFrame) -> DataFrame:
     """Verdict of each aligned book: fail without aligned words, gap if the text ran out long before the audio.
 

@@ -37,6 +37,12 @@ def aligned_window(spark, d):
     return drift.aligned_window(drift.dense_grid(_tracks(spark, d), INTERVAL, WIN), seg, ["book_id"], WIN).select("book_id", "i", "t0", "aligned")
 
 
+def window_counts(spark, d):
+    """Distinct words of each window; what is heard there is the text of its first words only."""
+    own = aligned_window(spark, d).withColumn("heard", F.array_join(F.slice(F.split("aligned", " "), 1, 9), " "))
+    return drift.word_counts(own, "aligned", "heard").select("book_id", "i", "n_aligned", "n_heard")
+
+
 def overlap(spark, d):
     own = A.docs(spark, d).select("doc_id", "source", F.array_distinct(T.words_of(F.col("text"))).alias("w"))
     other = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("h"))
@@ -175,7 +181,7 @@ def exact_passages(spark, d):
     return matching.exact_passages(own, A.heard(spark, d).withColumnRenamed("heard", "words"))
 
 
-QUERIES = {f.__name__: f for f in (probe_grid, probe_capped, sparse_grid, spread_sample, aligned_window, overlap, rolling_median, flagged_runs, longest_run_suggest, run_windows, drift_bars, drift_gate, best_match, forward_match, resync_decision, deadzone_runs, locate_segment, locate_segment_all, trusted_anchors, interp, interp_all, refine_best, boundary_gate, exact_passages)}
+QUERIES = {f.__name__: f for f in (probe_grid, probe_capped, sparse_grid, spread_sample, aligned_window, window_counts, overlap, rolling_median, flagged_runs, longest_run_suggest, run_windows, drift_bars, drift_gate, best_match, forward_match, resync_decision, deadzone_runs, locate_segment, locate_segment_all, trusted_anchors, interp, interp_all, refine_best, boundary_gate, exact_passages)}
 
 _S = "WITH " + A.SEGMENTS
 _GRID = _S + f""",
@@ -238,6 +244,11 @@ SELECT book_id, id FROM k WHERE list_contains(list_transform(range(k), lambda j:
     + r""", c AS (SELECT grid.book_id, i, string_agg(text, ' ' ORDER BY id) AS a FROM grid JOIN segs ON grid.book_id = segs.book_id AND end_ms >= t0 AND start_ms <= t1 GROUP BY ALL),
 m AS (SELECT grid.book_id, i, min(struct_pack(d := abs(start_ms + end_ms - 2 * t0), id := id, text := text)).text AS a FROM grid JOIN segs USING (book_id) GROUP BY ALL)
 SELECT grid.book_id, grid.i, t0, coalesce(c.a, m.a) AS aligned FROM grid LEFT JOIN c USING (book_id, i) LEFT JOIN m USING (book_id, i)""",
+    "window_counts": _GRID
+    + rf""", c AS (SELECT grid.book_id, i, string_agg(text, ' ' ORDER BY id) AS a FROM grid JOIN segs ON grid.book_id = segs.book_id AND end_ms >= t0 AND start_ms <= t1 GROUP BY ALL),
+m AS (SELECT grid.book_id, i, min(struct_pack(d := abs(start_ms + end_ms - 2 * t0), id := id, text := text)).text AS a FROM grid JOIN segs USING (book_id) GROUP BY ALL),
+w AS (SELECT grid.book_id, grid.i, coalesce(c.a, m.a) AS a FROM grid LEFT JOIN c USING (book_id, i) LEFT JOIN m USING (book_id, i))
+SELECT book_id, i, len(list_distinct({A.WORDS.format('a')}))::BIGINT AS n_aligned, len(list_distinct({A.WORDS.format("array_to_string(string_split(a, ' ')[1:9], ' ')")}))::BIGINT AS n_heard FROM w""",
     "overlap": f"WITH w AS (SELECT doc_id, list_distinct({A.WORDS.format('text')}) AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) > 0 THEN len(list_intersect(a.w, b.w))::DOUBLE / len(a.w) ELSE 0 END, 9) AS overlap FROM w a JOIN w b ON b.doc_id = a.doc_id + 1",
     "rolling_median": _PROFILE + "SELECT book_id, i, overlap, round(smoothed, 6) AS smoothed, flagged FROM prof",
     "flagged_runs": _RUNS + "SELECT * FROM runs",

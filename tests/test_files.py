@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import assemble, governance, matching, packaging, validate
+from lectern.operators import assemble, governance, matching, packaging, screen, timeline, validate
 from lectern.sources import documents as D
 from lectern.sources import html as H
 from lectern.sources import sinks
@@ -237,3 +237,26 @@ def test_streams_go_on_from_a_checkpoint(spark, tmp_path):
     assert rows(own, "key", "step", "pos", "s", "e") == rows(X.commit_table(parts, 2.0), "key", "step", "pos", "s", "e")
     own = staged(spark, tmp_path / "b", batches, lambda s: X.edit_aware_stream(s, safety=2.0, cadence=5.0), "aware")
     assert rows(own, "key", "step", "pos", "status") == rows(X.edit_aware_table(parts, safety=2.0, cadence=5.0), "key", "step", "pos", "status")
+
+
+def test_quota_of_words_and_seconds(spark):
+    df = spark.createDataFrame([(1, "one two", 20.5), (2, "one", 20.6), (3, "one", None), (4, "w " * 501, 1.0), (5, "http://a b c\nhttp://b", 1.0), (6, None, 1.0)], "k long, text string, sec double")
+    assert rows(governance.prose_quota(df, "k", seconds="sec"), "k", "n_words", "violation") == [(1, 2, False), (2, 1, True), (3, 1, True), (4, 501, True), (5, 0, False), (6, 0, False)]
+
+
+def test_units_of_documents(spark):
+    tables = {
+        "docs": spark.createDataFrame([("a", 1, "A"), ("b", 2, "B"), ("c", 3, "C"), ("d", 4, "D")], "doc_key string, track long, title string"),
+        "segments": spark.createDataFrame([("a", "One two"), ("a", "three 4"), ("b", "x"), ("d", None)], "doc_key string, text string"),
+    }
+    audio = spark.createDataFrame([(1, 60.0)], "track long, dur_sec double")
+    manifest = spark.createDataFrame([(1, 9.0), (2, 0.5)], "track long, minutes double")
+    planned = spark.createDataFrame([(4, 0.0, 30.0)], "track long, start double, end double")
+    own = screen.units_from_documents(tables, audio, manifest, planned)
+    assert rows(own, "label", "words", "minutes", "measured", "wps") == [("A", 3, 1.0, True, 0.05), ("B", 1, 0.5, True, 1 / 30), ("C", 0, None, False, 0.0), ("D", 0, 0.5, True, 0.0)]
+
+
+def test_chapters_find_their_segment(spark):
+    split = spark.createDataFrame([("b", 1, 10 + i, i, t) for i, t in enumerate((0, 1000, 3000))], "book_id string, track long, id long, local_id long, start_ms long")
+    asked = spark.createDataFrame([("b", 1, "own", 11, 2900), ("b", 1, "near", 99, 2100), ("b", 1, "tie", 99, 2000), ("b", 2, "none", 10, 5)], "book_id string, track long, title string, seg long, start_ms long")
+    assert rows(timeline.local_segments(asked, split, ["book_id", "track"]), "title", "local_seg") == [("near", 2), ("none", 0), ("own", 1), ("tie", 1)]
