@@ -113,27 +113,31 @@ WITH cut AS (
   SELECT page_id, translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ), hosts AS (
-  SELECT host, sum(good)::DOUBLE AS good, count(*)::DOUBLE AS n FROM split
-  JOIN (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY 1) USING (page_id) GROUP BY 1
+  SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n FROM split
+  LEFT JOIN (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY 1) USING (page_id) GROUP BY 1
 ), parts AS (SELECT *, string_split(host, '.') AS p FROM hosts
 ), leveled AS (
   SELECT host, good, n, array_to_string(p[greatest(len(p) - k + 1, 1):len(p)], '.') AS suffix, array_to_string(p[greatest(len(p) - k, 1):len(p)], '.') AS domain
   FROM (SELECT *, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ('co','com','net','org','gov','edu','ac') THEN 2 ELSE 1 END AS k FROM parts)
-), domains AS (SELECT suffix, domain, sum(good) AS good, sum(n) AS n FROM leveled GROUP BY 1, 2
+), rated AS (SELECT * FROM leveled WHERE n > 0
+), domains AS (SELECT suffix, domain, sum(good) AS good, sum(n) AS n FROM rated GROUP BY 1, 2
 ), suffixes AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM domains GROUP BY 1
 ), moments AS (
   SELECT 'all' AS level, '' AS parent, sum(good) AS g, sum(n) AS n, count(*) AS k, sum(good * good / n) AS s, sum(n * n) AS nn FROM suffixes
   UNION ALL SELECT 'suffix', suffix, sum(good), sum(n), count(*), sum(good * good / n), sum(n * n) FROM domains GROUP BY 2
-  UNION ALL SELECT 'domain', domain, sum(good), sum(n), count(*), sum(good * good / n), sum(n * n) FROM leveled GROUP BY 2
+  UNION ALL SELECT 'domain', domain, sum(good), sum(n), count(*), sum(good * good / n), sum(n * n) FROM rated GROUP BY 2
 ), weights AS (
   SELECT level, parent, CASE WHEN k < 2 OR g / n <= 0 OR g / n >= 1 THEN 20.0 WHEN e <= 0 THEN 1000.0 ELSE least(greatest(g / n * (1 - g / n) / e - 1, 2.0), 1000.0) END AS weight
   FROM (SELECT *, CASE WHEN k < 2 THEN 0 ELSE (s - g * g / n - (k - 1) * (g / n) * (1 - g / n)) / (n - nn / n) END AS e FROM moments)
-), top AS (
-  SELECT suffix, (good + m * weight) / (n + weight) AS mean FROM suffixes, (SELECT (sum(good) + 1) / (sum(n) + 2) AS m FROM suffixes), (SELECT weight FROM weights WHERE level = 'all')
+), everything AS (
+  SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m2, (SELECT weight FROM weights WHERE level = 'all') AS w2 FROM suffixes
+), under AS (
+  SELECT suffix, (good + m2 * w2) / (n + w2) AS m1, weight AS w1 FROM suffixes, everything JOIN weights ON level = 'suffix' AND parent = suffix
 ), middle AS (
-  SELECT domain, (good + mean * weight) / (n + weight) AS mean FROM domains JOIN top USING (suffix) JOIN weights ON level = 'suffix' AND parent = suffix
-), own AS (
-  SELECT host, good + mean * weight AS a, n - good + (1 - mean) * weight AS b FROM leveled JOIN middle USING (domain) JOIN weights ON level = 'domain' AND parent = domain
+  SELECT domain, (good + m1 * w1) / (n + w1) AS m0, weight AS w0 FROM domains JOIN under USING (suffix) JOIN weights ON level = 'domain' AND parent = domain
+), priors AS (
+  SELECT host, good, n, coalesce(m0, m1, m2) AS mean, coalesce(w0, w1, w2) AS weight FROM leveled LEFT JOIN middle USING (domain) LEFT JOIN under USING (suffix), everything
+), own AS (SELECT host, good + mean * weight AS a, n - good + (1 - mean) * weight AS b FROM priors
 ), ruled AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import shutil
 import sys
 import zlib
 from pathlib import Path
@@ -447,6 +448,23 @@ def test_url_sql(spark, small):
     oracle.same_rows(spark, small, urlfilter.op4_url_filter, urlfilter.OP4_SQL)
 
 
+def test_url_sql_on_unrated_and_odd_pages(spark, tmp_path):
+    """Hosts without outcomes, null and repeated rows, and tables without any outcome."""
+    draw = random.Random(4)
+    hosts = [f"h{draw.randrange(9)}.{d}" for d in ("bad.xyz", "fine.xyz", "junk", "co.uk", "a.co.uk", "x.com") for _ in range(40)]
+    rows = [(i, f"http://{h}/en/{i}", "") for i, h in enumerate(hosts)] + [(900, None, ""), (901, "no scheme", ""), (None, "http://bad.xyz/", ""), (3, f"http://{hosts[3]}/en/3", "")]
+    labels = [(i, 0 if "bad" in h or "junk" in h else int(draw.random() < 0.8), 0) for i, h in enumerate(hosts) if not h.startswith("h8")] + [(5, None, 0), (None, 1, 0), (6, 7, 0)]
+    for name, kept in (("some", labels), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(d / "p"))
+        spark.createDataFrame(kept, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(d / "l"))
+        for short, table in (("p", "pages"), ("l", "labels")):
+            next((d / short).glob("*.parquet")).rename(d / f"{table}.parquet")
+            shutil.rmtree(d / short)
+        oracle.same_rows(spark, str(d), urlfilter.op4_url_filter, urlfilter.OP4_SQL)
+    assert {r.verdict for r in urlfilter.op4_url_filter(spark, str(tmp_path / "some")).where("host LIKE 'h8.%bad.xyz'").collect()} == {"block"}
+
+
 def test_media_round_trip():
     for n in (0, 1, 63, 64, 65, 64 * 1024, 64 * 3000 + 5):
         raw = random.Random(n).randbytes(n)
