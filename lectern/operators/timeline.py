@@ -128,6 +128,12 @@ def nearest(rows: DataFrame, segments: DataFrame, by: list[str], at: str, time:
     return both.withColumn(out, pick).drop("_t0", "_id0", "_t1", "_id1", "_neg")
 
 
+def backward(rows: DataFrame, by: list[str], order: str, value: str = "start_ms") -> DataFrame:
+    """Rows whose value lies below the greatest one before, as ``top``: a timeline that steps back, which is worth a warning."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("top", F.max(value).over(before)).where(F.col(value) < F.col("top"))
+
+
 def local_segments(chapters: DataFrame, split: DataFrame, by: list[str]) -> DataFrame:
     """Chapters (seg, start_ms in their track) with the segment of their track that they begin with, as ``local_seg``.
 

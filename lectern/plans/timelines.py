@@ -125,9 +125,7 @@ def overlaps(spark, d):
 
 def monotone_warn(spark, d):
     own = A.segments(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("len_ms", "event_id")).cast("long"))
-    before = Window.partitionBy("book_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumn("top", F.max("start_ms").over(before))
-    return own.where("start_ms < top").select("book_id", "place", "start_ms", "top")
+    return timeline.backward(own, ["book_id"], "place").select("book_id", "place", "start_ms", "top")
 
 
 QUERIES = {f.__name__: f for f in (cum_offsets, split_local, split_manifest, split_reconcile, recombine, clip_spans, words_to_segments, markers_to_segments, asof_units, nearest_segment, offset_op, set_boundary, corrections, stitch, renumber, page_anchors, columns_of, exactly_once, overlaps, monotone_warn)}
