@@ -107,6 +107,8 @@ def forward_match_all(tokens: DataFrame, books: DataFrame, items: DataFrame, by:
     text = tokens.where(F.col("apos").isNotNull()).select(*by, "apos", "nw", F.explode(both).alias("_j"))
     own = text.groupBy(*by, "_j").agg(F.transform(F.array_sort(F.collect_list(F.struct("apos", "nw"))), lambda x: x["nw"]).alias("_words"))
     own = books.select(*by).join(own, by, "left").withColumn("_j", F.coalesce("_j", F.lit(0).cast("long")))
+    # a stretch is few bytes and much work, so it is dealt by number and not by size
+    own = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_j")
     blocks = items.groupBy(F.floor(F.col("item") / 64).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("item", "heard"))).alias("_items"))
     own = own.withColumn("_k", F.lit(1)).join(F.broadcast(blocks.withColumn("_k", F.lit(1))), "_k").select(*by, "_j", "_words", "_b", "_items")
     kinds = [(c, books.schema[c].dataType) for c in by] + [("item", items.schema["item"].dataType)]

@@ -77,11 +77,11 @@ def heard(spark, d, size: int | None = None):
 def book_tokens(spark, d):
     """All tokens of a book as one text, in the order of doc_id: (book_id, pos, apos, w, nw)."""
     own = docs(spark, d).select(book(), "doc_id", "text")
-    each = sentences.token_stream(own, ["book_id", "doc_id"])
-    sizes = each.groupBy("book_id", "doc_id").agg(F.count("*").alias("_n"), F.count("apos").alias("_a"))
+    sizes = own.select("book_id", "doc_id", F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0)).alias("_n"), F.coalesce(T.alignable(F.col("text")), F.lit(0)).alias("_a"))
     before = Window.partitionBy("book_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("book_id", "doc_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_a"))
-    return each.join(sizes, ["book_id", "doc_id"]).select("book_id", "doc_id", (F.col("pos") + F.col("_n")).alias("pos"), "w", "nw", (F.col("apos") + F.col("_a")).alias("apos"))
+    each = sentences.token_stream(own.join(sizes, ["book_id", "doc_id"]), ["book_id", "doc_id", "_n", "_a"])  # whole texts meet their offsets, not tokens
+    return each.select("book_id", "doc_id", (F.col("pos") + F.col("_n")).alias("pos"), "w", "nw", (F.col("apos") + F.col("_a")).alias("apos"))
 
 
 BOOK_WORDS = f"""
