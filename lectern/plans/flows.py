@@ -62,10 +62,6 @@ def _rolled_back(seg):
 
 
 def rollback(spark, d):
-    return _rolled_back(A.segments(spark, d).where(F.col("id") % 6 == 0))
-
-
-def rollback_all(spark, d):
     return _rolled_back(A.segments(spark, d))
 
 
@@ -102,11 +98,6 @@ def _unit_markers(seg, asked):
 
 
 def unit_markers(spark, d):
-    seg = A.segments(spark, d)
-    return _unit_markers(seg, seg.where(F.col("id") % 3 == 0))
-
-
-def unit_markers_all(spark, d):
     seg = A.segments(spark, d)
     return _unit_markers(seg, seg)
 
@@ -162,7 +153,7 @@ def stream_edit_aware(spark, d):
     return X.edit_aware_table(own, safety=6.0, cadence=20.0).select("key", "step", "pos", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"), "status")
 
 
-QUERIES = {f.__name__: f for f in (assemble, assemble_all, cut_gaps, tail_trim, sub_chunks, here_words, rollback, rollback_all, merge_groups, merge_errors, units_from_boundaries, units_from_marks, unit_markers, unit_markers_all, track_map_check, anti_cache, manifest_patch, validate_doc, stream_sessions, stream_commit, stream_edit_aware)}
+QUERIES = {f.__name__: f for f in (assemble, assemble_all, cut_gaps, tail_trim, sub_chunks, here_words, rollback, merge_groups, merge_errors, units_from_boundaries, units_from_marks, unit_markers, track_map_check, anti_cache, manifest_patch, validate_doc, stream_sessions, stream_commit, stream_edit_aware)}
 
 _S = "WITH " + A.SEGMENTS
 _TIMED = r"""WITH
@@ -230,9 +221,7 @@ SELECT event_id, chunk, chunk * 3000 AS c0, least(chunk * 3000 + 3000, d) AS c1
 g AS (SELECT book_id, unnest(range(max(pos) // 25 + 1)) AS i FROM tok GROUP BY book_id),
 a AS (SELECT *, round(s * 1000)::BIGINT AS sm, round(e * 1000)::BIGINT AS em FROM tok WHERE status = 'ALIGNED' AND nw <> '')
 SELECT g.book_id, g.i, coalesce(string_agg(nw, ' ' ORDER BY pos), '') AS here FROM g LEFT JOIN a ON a.book_id = g.book_id AND em >= g.i * 10000 AND sm <= g.i * 10000 + 4000 GROUP BY ALL""",
-    "rollback": _S + r""", c AS (SELECT book_id, id AS a0, id + len_ms % 9 AS a1, id + len_ms % 14 AS cursor, len_ms % 2 = 0 AS wrong FROM segs WHERE id % 6 = 0)
-SELECT book_id, a0, CASE WHEN wrong THEN greatest(a1, cursor) ELSE a1 END AS a1, cursor, wrong, NOT wrong AS logged FROM c""",
-    "rollback_all": _S + r""", c AS (SELECT book_id, id AS a0, id + len_ms % 9 AS a1, id + len_ms % 14 AS cursor, len_ms % 2 = 0 AS wrong FROM segs)
+    "rollback": _S + r""", c AS (SELECT book_id, id AS a0, id + len_ms % 9 AS a1, id + len_ms % 14 AS cursor, len_ms % 2 = 0 AS wrong FROM segs)
 SELECT book_id, a0, CASE WHEN wrong THEN greatest(a1, cursor) ELSE a1 END AS a1, cursor, wrong, NOT wrong AS logged FROM c""",
     "merge_groups": _S + r""", n AS (SELECT book_id, id AS idx, count(*) OVER (PARTITION BY book_id) AS n FROM segs)
 SELECT book_id, idx, CASE WHEN idx IN (0, 1) AND n > 1 THEN 0 WHEN idx IN (3, 4) AND n > 4 THEN 3 WHEN idx BETWEEN 10 AND 19 AND n > 19 THEN 10 ELSE idx END AS "group" FROM n""",
@@ -255,9 +244,6 @@ j AS (SELECT n.book_id, unit, n.raw_idx, nx, s.start_ms, coalesce(m.start_ms, fi
 SELECT book_id, unit, raw_idx, start_ms, end_ms, coalesce(start_ms IS NOT NULL AND (nx IS NULL OR nx > raw_idx) AND end_ms > start_ms, false) AS ok FROM j""",
     "unit_markers": _S + r""",
 u AS (SELECT book_id, id AS useg, 'u' || id AS unit, len_ms % 12 AS n FROM segs WHERE id % 10 = 2)
-SELECT s.book_id, s.id AS seg, u.unit, least(greatest(s.id - useg, 0), greatest(n - 1, 0)) AS local_seg FROM segs s ASOF LEFT JOIN u ON s.book_id = u.book_id AND s.id >= useg WHERE s.id % 3 = 0""",
-    "unit_markers_all": _S + r""",
-u AS (SELECT book_id, id AS useg, 'u' || id AS unit, len_ms % 12 AS n FROM segs WHERE id % 10 = 2)
 SELECT s.book_id, s.id AS seg, u.unit, least(greatest(s.id - useg, 0), greatest(n - 1, 0)) AS local_seg FROM segs s ASOF LEFT JOIN u ON s.book_id = u.book_id AND s.id >= useg""",
     "track_map_check": r"""
 WITH o AS (SELECT o_custkey AS book_id, o_orderkey AS idx, CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 50 END AS seg, CASE WHEN o_orderkey % 17 > 0 THEN [o_orderkey % 7, o_orderkey % 31 + 10] ELSE [] END AS tracks FROM orders),

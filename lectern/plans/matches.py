@@ -145,18 +145,10 @@ def _totals(spark, d):
     return A.segments(spark, d).groupBy("book_id").agg((F.max("end_ms") / 1000.0).alias("total_dur"), F.count("*").alias("total_segs"))
 
 
-def _interp(spark, d, asked):
-    wanted = asked.select("book_id", F.col("id").alias("seg"))
-    return matching.interpolate(trusted_anchors(spark, d), wanted, _totals(spark, d), ["book_id"])
-
-
 def interp(spark, d):
-    return _interp(spark, d, A.segments(spark, d).where(F.col("id") % 5 == 2)).select("book_id", "seg", F.round("time", 3).alias("time"))
-
-
-def interp_all(spark, d):
-    """Every segment, and the times unrounded: engines round half a millisecond differently."""
-    return _interp(spark, d, A.segments(spark, d))
+    """The time of every segment, unrounded: engines round half a millisecond differently."""
+    wanted = A.segments(spark, d).select("book_id", F.col("id").alias("seg"))
+    return matching.interpolate(trusted_anchors(spark, d), wanted, _totals(spark, d), ["book_id"])
 
 
 def _refined(spark, d):
@@ -181,7 +173,7 @@ def exact_passages(spark, d):
     return matching.exact_passages(own, A.heard(spark, d).withColumnRenamed("heard", "words"))
 
 
-QUERIES = {f.__name__: f for f in (probe_grid, probe_capped, sparse_grid, spread_sample, aligned_window, window_counts, overlap, rolling_median, flagged_runs, longest_run_suggest, run_windows, drift_bars, drift_gate, best_match, forward_match, resync_decision, deadzone_runs, locate_segment, locate_segment_all, trusted_anchors, interp, interp_all, refine_best, boundary_gate, exact_passages)}
+QUERIES = {f.__name__: f for f in (probe_grid, probe_capped, sparse_grid, spread_sample, aligned_window, window_counts, overlap, rolling_median, flagged_runs, longest_run_suggest, run_windows, drift_bars, drift_gate, best_match, forward_match, resync_decision, deadzone_runs, locate_segment, locate_segment_all, trusted_anchors, interp, refine_best, boundary_gate, exact_passages)}
 
 _S = "WITH " + A.SEGMENTS
 _GRID = _S + f""",
@@ -289,13 +281,6 @@ SELECT book_id, item, est, b.seg AS seg, round(-b.s, 9) AS score FROM b""",
 tot AS (SELECT book_id, max(end_ms) / 1000.0::DOUBLE AS td, count(*) AS ts FROM segs GROUP BY 1),
 pts AS (SELECT book_id, g0 AS g, seg AS s FROM trust UNION SELECT book_id, 0.0, 0 FROM tot UNION SELECT book_id, td, ts FROM tot),
 sp AS (SELECT book_id, g, s, row_number() OVER w AS i, lead(g) OVER w AS g1, lead(s) OVER w AS s1 FROM pts WINDOW w AS (PARTITION BY book_id ORDER BY g, s)),
-wa AS (SELECT book_id, id AS seg FROM segs WHERE id % 5 = 2),
-hit AS (SELECT wa.book_id, wa.seg, arg_min(CASE WHEN s1 = s THEN g ELSE g + (g1 - g) * (wa.seg - s) / (s1 - s) END, i) AS t FROM wa JOIN sp ON sp.book_id = wa.book_id AND wa.seg BETWEEN s AND s1 GROUP BY ALL)
-SELECT wa.book_id, wa.seg, round(coalesce(t, td * wa.seg / ts), 3) AS time FROM wa JOIN tot USING (book_id) LEFT JOIN hit USING (book_id, seg)""",
-    "interp_all": _ANCHORS + r""",
-tot AS (SELECT book_id, max(end_ms) / 1000.0::DOUBLE AS td, count(*) AS ts FROM segs GROUP BY 1),
-pts AS (SELECT book_id, g0 AS g, seg AS s FROM trust UNION SELECT book_id, 0.0, 0 FROM tot UNION SELECT book_id, td, ts FROM tot),
-sp AS (SELECT book_id, g, s, row_number() OVER w AS i, lead(g) OVER w AS g1, lead(s) OVER w AS s1 FROM pts WINDOW w AS (PARTITION BY book_id ORDER BY g, s)),
 wa AS (SELECT book_id, id AS seg FROM segs),
 hit AS (SELECT wa.book_id, wa.seg, arg_min(CASE WHEN s1 = s THEN g ELSE g + (g1 - g) * (wa.seg - s) / (s1 - s) END, i) AS t FROM wa JOIN sp ON sp.book_id = wa.book_id AND wa.seg BETWEEN s AND s1 GROUP BY ALL)
 SELECT wa.book_id, wa.seg, coalesce(t, td * wa.seg / ts) AS time FROM wa JOIN tot USING (book_id) LEFT JOIN hit USING (book_id, seg)""",
