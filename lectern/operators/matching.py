@@ -57,6 +57,19 @@ def forward_match(tokens: DataFrame, heard: DataFrame, by: list[str], reach: int
     return heard.join(best, keys, "left").select(*keys, F.coalesce(F.col("_b.off"), F.lit(0)).cast("long").alias("best_off"), F.coalesce(-F.col("_b.s"), F.lit(0.0)).alias("best_score"))
 
 
+def in_blocks(items: DataFrame, size: int = 64) -> tuple[DataFrame, int]:
+    """Items dealt to blocks ``_b`` of about ``size``, and the number of blocks."""
+    n = max(1, -(-items.count() // size))
+    return items.withColumn("_b", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")), n
+
+
+def asked_everywhere(places: DataFrame, items: DataFrame) -> DataFrame:
+    """Every item of a stated query set at every place. They meet on the number of a block, so Spark looks at the items' size
+    before it broadcasts them."""
+    dealt, n = in_blocks(items)
+    return places.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(dealt, "_b").drop("_b")
+
+
 def _blocks_of(items: list[dict]) -> tuple:
     """A block of items as numbers: (items, spans, words, the items of each word as offsets and places)."""
     sets = [list(dict.fromkeys(x["heard"] or [])) for x in items]
@@ -99,7 +112,7 @@ def forward_match_all(tokens: DataFrame, books: DataFrame, items: DataFrame, by:
 
     The cursors stop where no word lies ``least`` ahead; a book has the cursor 0 at least. Windows overlap, so every
     span of up to reach - stride - least words lies whole in one. Books are cut in stretches of eight windows, which
-    meet items in blocks of 64 numbers; a window's scores are sums over the tokens that were heard.
+    meet items in blocks of about 64; a window's scores are sums over the tokens that were heard.
     """
     length, spare = 8 * stride, reach - stride
     here = F.floor(F.col("apos") / length).cast("long")
@@ -109,8 +122,9 @@ def forward_match_all(tokens: DataFrame, books: DataFrame, items: DataFrame, by:
     own = books.select(*by).join(own, by, "left").withColumn("_j", F.coalesce("_j", F.lit(0).cast("long")))
     # a stretch is few bytes and much work, so it is dealt by number and not by size
     own = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_j")
-    blocks = items.groupBy(F.floor(F.col("item") / 64).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("item", "heard"))).alias("_items"))
-    own = own.withColumn("_k", F.lit(1)).join(F.broadcast(blocks.withColumn("_k", F.lit(1))), "_k").select(*by, "_j", "_words", "_b", "_items")
+    dealt, n = in_blocks(items)
+    blocks = dealt.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("item", "heard"))).alias("_items"))
+    own = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "_b").select(*by, "_j", "_words", "_b", "_items")
     kinds = [(c, books.schema[c].dataType) for c in by] + [("item", items.schema["item"].dataType)]
     schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", cursor long, best_off long, best_score double"
 

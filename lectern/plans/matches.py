@@ -90,8 +90,7 @@ def best_match(spark, d):
 def _heard_in_books(spark, d):
     books = A.docs(spark, d).select(A.book()).distinct()
     heard = A.heard(spark, d).select(F.col("item_id").alias("item"), "heard")
-    one = F.lit(1).alias("_k")  # every item is sought in every book: a stated query set
-    return books.select("book_id", one).join(F.broadcast(heard.select("*", one)), "_k").drop("_k")
+    return matching.asked_everywhere(books, heard)
 
 
 def forward_match(spark, d):
@@ -127,8 +126,8 @@ def locate_segment_all(spark, d):
     """Around estimates 6000 lines apart, whose ranges of 3000 lines to both sides hold each line of a book once."""
     own = _lines(spark, d)
     ests = own.groupBy("book_id").agg(F.max("seg").alias("_m")).select("book_id", F.explode(F.sequence(F.lit(3000).cast("long"), F.floor(F.col("_m") / 6000) * 6000 + 3000, F.lit(6000).cast("long"))).alias("est"))
-    heard = A.heard(spark, d).select(F.col("item_id").alias("item"), "heard").withColumn("_k", F.lit(1))
-    asked = ests.withColumn("_k", F.lit(1)).join(F.broadcast(heard), "_k").select("book_id", F.struct("item", "est").alias("item"), "est", "heard")
+    heard = A.heard(spark, d).select(F.col("item_id").alias("item"), "heard")
+    asked = matching.asked_everywhere(ests, heard).select("book_id", F.struct("item", "est").alias("item"), "est", "heard")
     found = matching.locate(own, asked, ["book_id"])
     return found.select("book_id", "item.item", "item.est", "seg", F.round("score", 9).alias("score"))
 
