@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 LENGTH = 2048
-WORDS_KEPT = 300_000  # words whose ids a task remembers, and parts of words; it starts anew beyond that
-PARTS_KEPT = 400_000
+PARTS_KEPT = 600_000  # parts of words whose ids a task remembers; it starts anew beyond that
+BLOCK = 3_000_000  # characters that are tokenised at once
 SPARED = (0, 1 / 32, 1 / 8, 1 / 2)  # shares of the tokens that the exact phase may leave to best fit
+WORD_END = "</w>"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a piece with letters after it
 
 #: The steps of a tokenizer whose texts may be cut at white space.
@@ -47,20 +49,23 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         own = json.loads(self.tokenizer.to_str())
         steps, split = own["normalizer"] or {}, (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.cut = (
             steps.get("type") == "Sequence" and steps["normalizers"] == NORMALIZER
             and [x.get("type") for x in split] == ["Split", "ByteLevel"] and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
-            and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+            and own["model"].get("end_of_word_suffix") == WORD_END and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
             and all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not any(c.isspace() for c in x["content"]) for x in own["added_tokens"])
         )
         self.between = next(((x["content"], x["id"]) for x in own["added_tokens"] if x["special"] and "<|" in x["content"]), None)
         self.cut = self.cut and self.between is not None
         letters = "".join(c for c in map(chr, range(0x61, 0x250)) if self._apart(c))
-        self.ends = re.compile(f"([{letters}]+)([{re.escape(MARKS)}]+)") if self.cut and letters else None
+        self.ends = re.compile(f"([{letters}]*)([{re.escape(MARKS)}]*)") if letters else None
+        self.cut = self.cut and self.ends is not None
+        names = self.tokenizer.get_vocab() if self.cut else {}
+        self.last = np.zeros(max(names.values(), default=0) + 1, bool)  # which ids end a word
+        self.last[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
 
     def _apart(self, letter: str) -> bool:
         """Whether the tokenizer keeps a letter one letter and cuts between it and a mark."""
@@ -70,7 +75,7 @@ class Ids:
     @classmethod
     def forget(cls) -> None:
         for own in cls._loaded.values():
-            own.words, own.parts = {}, {}
+            own.parts = {}
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -88,47 +93,66 @@ class Ids:
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
 
-    def _tokens(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part. Many are tokenised as one text, with a special token between them that the file takes out of
-        a text before any step."""
-        sign, number = self.between
-        ids = np.array(self.tokenizer.encode_batch_fast([sign.join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        edge = np.flatnonzero(ids == number)
-        if len(edge) != len(parts) - 1:
-            raise ValueError("the tokenizer doesn't keep its special token")
+    def _joined(self, parts: list[str], between: str, last: np.ndarray | int) -> list[bytes] | None:
+        """The ids of parts that are tokenised as one text, ``between`` standing between them.
+
+        ``last`` tells where a part ends: by the ids that end a word, or by the id that stands between. None if there are
+        not as many ends as parts.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        if isinstance(last, int):
+            ends = np.append(np.flatnonzero(ids == last), len(ids))
+            starts = np.append(0, ends[:-1] + 1)
+        else:
+            ends = np.flatnonzero(last[ids]) + 1
+            starts = np.append(0, ends[:-1])
+        if len(ends) != len(parts):
+            return None
         raw = ids.tobytes()
-        starts, ends = [0, *(4 * edge + 4).tolist()], [*(4 * edge).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-
-    def _learn(self, words: list[str]) -> None:
-        find = self.ends.fullmatch
-        split = [m.groups() if (m := find(w)) else (w,) for w in words]
-        parts = self.parts
+        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
+    def _tokenise(self, parts: list[str], simple: bool) -> None:
+        """Remember the ids of new parts; ``simple`` ones are letters only or marks only, which stay one word."""
+        for s in range(0, len(parts), 20_000):
+            some = parts[s : s + 20_000]
+            found = self._joined(some, " ", self.last) if simple else self._joined(some, *self.between)
+            if found is None:
+                found = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.parts.update(zip(some, found, strict=True))
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from those of their parts, which are remembered."""
+        find, parts = self.ends.fullmatch, self.parts
         if len(parts) > PARTS_KEPT:
             parts.clear()
-        new = list(set().union(*split).difference(parts))
-        signs = [p for p in new if "<|" in p]
-        for p, e in zip(signs, self.tokenizer.encode_batch_fast(signs, add_special_tokens=False), strict=True):
-            parts[p] = np.array(e.ids, "<u4").tobytes()
-        if signs:
-            new = [p for p in new if "<|" not in p]
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            parts.update(zip(part, self._tokens(part), strict=True))
-        self.words.update((w, parts[s[0]] if len(s) == 1 else parts[s[0]] + parts[s[1]]) for w, s in zip(words, split, strict=True))
+        parts[""] = b""
+        split = [m.groups() if (m := find(w)) else (w, None) for w in words]
+        whole = [w for w, mark in split if mark is None and w not in parts]
+        signs = [w for w in whole if "<|" in w]  # these may hold special tokens
+        parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(signs, self.tokenizer.encode_batch_fast(signs, add_special_tokens=False), strict=True))
+        self._tokenise([w for w in whole if "<|" not in w], False)
+        self._tokenise(list({p for x in split for p in x if p is not None and p not in parts}), True)
+        return [parts[w] + parts[mark] if mark else parts[w] for w, mark in split]
 
     def encode(self, texts: list) -> list[bytes]:
         if not self.cut:
             return [np.array([*e.ids, 0], "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        words = self.words
-        if len(words) > WORDS_KEPT:
-            words.clear()
-        split = [self.folded(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(words))
-        if new:
-            self._learn(new)
-        end = b"\0\0\0\0"
-        return [b"".join([words[w] for w in s]) + end for s in split]
+        if not texts:
+            return []
+        folded = [self.folded(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        split = pc.split_pattern(pa.array(folded, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()  # each distinct word of the texts once
+        found = [*self._of_words(words), b"\0\0\0\0"]  # the last one ends a text
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        stored = np.frombuffer(b"".join(found), "<u4")
+        ends = np.cumsum(split.value_lengths().to_numpy())
+        each = np.insert(coded.indices.to_numpy(), ends, len(words))
+        count = size[each]
+        stop = np.cumsum(count)
+        raw = stored[np.repeat((np.cumsum(size) - size)[each] - (stop - count), count) + np.arange(stop[-1])].tobytes()
+        cuts = [0, *(4 * stop[ends + np.arange(len(ends))]).tolist()]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 common.at_task_end(Ids.forget)
@@ -263,7 +287,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in common.blocks(texts, 1_000_000):
+            for a, b in common.blocks(texts, BLOCK):
                 at, rows = [], []
                 for i, x in enumerate(ids.encode(texts[a:b])):
                     n = len(x) // 4
