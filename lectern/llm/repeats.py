@@ -5,11 +5,12 @@ trigger at the same place. Consecutive strings with one trigger form a phrase; a
 phrases (the parse) over the distinct phrases (the dictionary). Phrases overlap by more than a trigger and
 none is a prefix of another, so equal strings always lie at equal places of phrases with one trigger.
 
-Suffixes are put in the order of (trigger, phrase fingerprint, document, place) by one distributed sort: that
-brings all occurrences of equal phrases together, earliest first. A phrase whose trigger has no other phrase
-is decided as a whole. Only where one trigger has several phrases are the 100-byte strings inside them sorted the
-same way one by one, trigger by trigger. No order between different strings is needed for the result, so fingerprints stand in
-for their letters.
+The parse is put in the order of (trigger, phrase, document, place) by one distributed sort: that brings all
+occurrences of equal phrases together, earliest first. A phrase whose trigger has no other phrase is decided as a
+whole. Where one trigger has several phrases, the suffix array of these phrases, the trigger's part of the dictionary,
+puts their suffixes in the order of their first 100 bytes; equal ones are neighbours, and with the phrases' places in the
+parse they come in corpus order, of which all but the first repeat. Triggers and phrases are told apart by fingerprints;
+no order between suffixes of different triggers is needed, as they are never equal.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ TRIGGER = 32  # bytes of the rolling hash
 STARTS = LENGTH - TRIGGER + 1  # triggers in a string
 BLOCK = 1 << 18  # bytes that are parsed at once
 LONGEST = 1 << 22  # longer texts are parsed in parts of so many strings
-GROUP = 8192  # phrases of one trigger that one task compares
+GROUP = 8192  # phrases of one trigger that one task puts in order
+SORTED = 1 << 20  # bytes of phrases whose suffixes are put in order at once
 PHRASE, MARK, DETAIL = 0, 1, 2
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -116,6 +118,24 @@ def parse(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     return of[new], start - (end - size)[of[new]], count, trigger.astype(np.int64), phrase.astype(np.int64)
 
 
+def suffix_ranks(raw: np.ndarray) -> np.ndarray:
+    """The rank, in the order of their first LENGTH bytes, of the suffixes that have so many; equal beginnings share a rank.
+
+    Ranks of eight bytes are their number; pairs of ranks give those of twice the length, and two of 64 bytes that
+    overlap those of 100.
+    """
+    x = np.zeros(len(raw) - 7, np.uint64)
+    for k in range(8):
+        x |= raw[k : len(raw) - 7 + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    rank = np.unique(x, return_inverse=True)[1]
+    size = 8
+    while size < LENGTH:
+        step = min(size, LENGTH - size)
+        rank = np.unique((rank[:-step] << 32) | rank[step:], return_inverse=True)[1]
+        size += step
+    return rank
+
+
 def _later(a, b, doc, start):
     """Rows in the order of (a, b, doc, start), and which of them repeat an earlier place's (a, b)."""
     order = np.lexsort((start, doc, b, a))
@@ -267,28 +287,38 @@ def _resolve(contexts: DataFrame) -> DataFrame:
     their own fingerprints.
     """
 
-    def strings(rows):
-        a, doc, start, data = rows
-        size = np.array([len(x) for x in data], np.int64)
+    def places(size):
+        """Of all strings of phrases of these sizes: the phrase, the place in it and in the phrases' joined bytes."""
         count = size - LENGTH + 1
         of = np.repeat(np.arange(len(size)), count)
         step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(np.cumsum(size) - size, count) + step
-        b = Hashes(np.frombuffer(b"".join(data), np.uint8)).of(at, at + LENGTH).astype(np.int64)
-        return a[of], b, doc[of], start[of] + step
+        return of, step, np.repeat(np.cumsum(size) - size, count) + step
 
     def finish(rows):
-        a, b, doc, start = strings(rows)
-        order, later, _ = _later(a, b, doc, start)
+        size = np.array([len(x) for x in rows[3]], np.int64)
+        ends = np.flatnonzero(np.append(rows[0][1:] != rows[0][:-1], True)) + 1
+        start, done = 0, 0
+        for end, total in zip(ends.tolist(), np.cumsum(size)[ends - 1].tolist(), strict=True):
+            if total - done >= SORTED or end == len(size):  # whole triggers, together of about so many bytes
+                yield from ordered([x[start:end] for x in rows], size[start:end])
+                start, done = end, total
+
+    def ordered(rows, size):
+        a, doc, start, data = rows
+        of, step, at = places(size)
+        rank = suffix_ranks(np.frombuffer(b"".join(data), np.uint8))[at]
+        order, later, _ = _later(a[of], rank, doc[of], start[of] + step)
         out = order[later]
         if len(out):
-            doc, start, count = _joined(doc[out], start[out], np.ones(len(out), np.int64))
+            doc, start, count = _joined(doc[of[out]], start[of[out]] + step[out], np.ones(len(out), np.int64))
             yield _rows(MARK, np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), doc, start, count)
 
     def spill(rows):
         for s in range(0, len(rows[0]), GROUP):
-            a, b, doc, start = strings([x[s : s + GROUP] for x in rows])
-            yield from _local(a, b, doc, start, np.ones(len(a), np.int64))
+            a, doc, start, data = (x[s : s + GROUP] for x in rows)
+            of, step, at = places(np.array([len(x) for x in data], np.int64))
+            b = Hashes(np.frombuffer(b"".join(data), np.uint8)).of(at, at + LENGTH).astype(np.int64)
+            yield from _local(a[of], b, doc[of], start[of] + step, np.ones(len(of), np.int64))
 
     def run(batches):
         kept, large = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, object)], None

@@ -167,6 +167,7 @@ def passages(seed):
 @pytest.mark.parametrize("group", [8192, 3])
 def test_removal(spark, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "SORTED", 300 * group)
     docs = passages(group)
     own = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(spark.createDataFrame(docs, SCHEMA).repartition(6)).collect()}
     assert own == removal(docs)
@@ -179,6 +180,17 @@ def test_removal_in_parts(spark, monkeypatch):
     assert own == removal(docs)
 
 
+def test_suffix_ranks():
+    draw = random.Random(6)
+    for letters in (b"ab", b"a", bytes(range(256))):
+        raw = bytes(draw.choice(letters) for _ in range(900))
+        raw += raw[100:400]
+        ranks = repeats.suffix_ranks(np.frombuffer(raw, np.uint8)).tolist()
+        parts = [raw[i : i + 100] for i in range(len(raw) - 99)]
+        of = {p: k for k, p in enumerate(sorted(set(parts)))}
+        assert ranks == [of[p] for p in parts]
+
+
 def test_removal_odd_rows(spark):
     long = "the same words again and again, " * 5
     df = spark.createDataFrame([(1, long), (1, long), (None, long), (2, long), (3, None)], SCHEMA)
