@@ -30,7 +30,7 @@ STARTS = LENGTH - TRIGGER + 1  # triggers in a string
 BLOCK = 1 << 18  # bytes that are parsed at once
 LONGEST = 1 << 22  # longer texts are parsed in parts of so many strings
 GROUP = 8192  # phrases of one trigger that one task puts in order
-SORTED = 1 << 20  # bytes of phrases whose suffixes are put in order at once
+SORTED = 1 << 18  # bytes of phrases whose suffixes are put in order at once
 PHRASE, MARK, DETAIL = 0, 1, 2
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
