@@ -25,7 +25,7 @@ from lectern.llm import common
 
 LENGTH = 2048
 PARTS_KEPT = 600_000  # parts of words whose ids a task remembers; it starts anew beyond that
-BLOCK = 3_000_000  # characters that are tokenised at once
+BLOCK = 8_000_000  # characters that are tokenised at once
 SPARED = (0, 1 / 32, 1 / 8, 1 / 2)  # shares of the tokens that the exact phase may leave to best fit
 WORD_END = "</w>"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a piece with letters after it
@@ -144,14 +144,14 @@ class Ids:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()  # each distinct word of the texts once
         found = [*self._of_words(words), b"\0\0\0\0"]  # the last one ends a text
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
         stored = np.frombuffer(b"".join(found), "<u4")
         ends = np.cumsum(split.value_lengths().to_numpy())
         each = np.insert(coded.indices.to_numpy(), ends, len(words))
         count = size[each]
-        stop = np.cumsum(count)
-        raw = stored[np.repeat((np.cumsum(size) - size)[each] - (stop - count), count) + np.arange(stop[-1])].tobytes()
-        cuts = [0, *(4 * stop[ends + np.arange(len(ends))]).tolist()]
+        stop = np.cumsum(count, dtype=np.int32)  # a block has far fewer ids than that
+        raw = stored[np.repeat((np.cumsum(size, dtype=np.int32) - size)[each] - (stop - count), count) + np.arange(stop[-1], dtype=np.int32)].tobytes()
+        cuts = [0, *(4 * stop[ends + np.arange(len(ends))].astype(np.int64)).tolist()]
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
