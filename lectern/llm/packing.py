@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 LENGTH = 2048
-PARTS_KEPT = 600_000  # parts of words whose ids a task remembers; it starts anew beyond that
-BLOCK = 8_000_000  # characters that are tokenised at once
+PARTS_KEPT = 400_000  # parts of words whose ids a task remembers; it starts anew beyond that
+BLOCK = 4_000_000  # characters that are tokenised at once
 SPARED = (0, 1 / 32, 1 / 8, 1 / 2)  # shares of the tokens that the exact phase may leave to best fit
 WORD_END = "</w>"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a piece with letters after it
