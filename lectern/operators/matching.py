@@ -57,6 +57,9 @@ def forward_match(tokens: DataFrame, heard: DataFrame, by: list[str], reach: int
     return heard.join(best, keys, "left").select(*keys, F.coalesce(F.col("_b.off"), F.lit(0)).cast("long").alias("best_off"), F.coalesce(-F.col("_b.s"), F.lit(0.0)).alias("best_score"))
 
 
+MOST_BLOCKS = 512  # of 64 items, that are broadcast
+
+
 def in_blocks(items: DataFrame, size: int = 64) -> tuple[DataFrame, int]:
     """Items dealt to blocks ``_b`` of about ``size``, and the number of blocks."""
     n = max(1, -(-items.count() // size))
@@ -64,9 +67,9 @@ def in_blocks(items: DataFrame, size: int = 64) -> tuple[DataFrame, int]:
 
 
 def asked_everywhere(places: DataFrame, items: DataFrame) -> DataFrame:
-    """Every item of a stated query set at every place. They meet on the number of a block, so Spark looks at the items' size
-    before it broadcasts them."""
+    """Every item of a stated query set at every place. They meet on the number of a block; few enough blocks are broadcast."""
     dealt, n = in_blocks(items)
+    dealt = F.broadcast(dealt) if n <= MOST_BLOCKS else dealt
     return places.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(dealt, "_b").drop("_b")
 
 
@@ -106,24 +109,30 @@ def _best_spans(prev: np.ndarray, word: np.ndarray, spans: np.ndarray, start: np
     return np.where(top > 0, best, 0), top
 
 
-def forward_match_all(tokens: DataFrame, books: DataFrame, items: DataFrame, by: list[str], stride: int = 1000, reach: int = 1500, least: int = 40) -> DataFrame:
+def forward_match_all(texts: DataFrame, books: DataFrame, items: DataFrame, by: list[str], stride: int = 1000, reach: int = 1500, least: int = 40) -> DataFrame:
     """``forward_match`` of every item (item, a number, and heard) in every book, from each ``stride``-th word on:
     (item, cursor, best_off, best_score).
 
-    The cursors stop where no word lies ``least`` ahead; a book has the cursor 0 at least. Windows overlap, so every
+    texts: the alignable words of each text of a book as an array, and the place ``start`` of its first one; or single
+    tokens (apos, nw). The cursors stop where no word lies ``least`` ahead; a book has the cursor 0 at least. Windows overlap, so every
     span of up to reach - stride - least words lies whole in one. Books are cut in stretches of eight windows, which
     meet items in blocks of about 64; a window's scores are sums over the tokens that were heard.
     """
     length, spare = 8 * stride, reach - stride
-    here = F.floor(F.col("apos") / length).cast("long")
-    both = F.array_compact(F.array(here, F.when((here > 0) & (F.col("apos") % length < spare), here - 1)))
-    text = tokens.where(F.col("apos").isNotNull()).select(*by, "apos", "nw", F.explode(both).alias("_j"))
-    own = text.groupBy(*by, "_j").agg(F.transform(F.array_sort(F.collect_list(F.struct("apos", "nw"))), lambda x: x["nw"]).alias("_words"))
+    if "words" not in texts.columns:  # single tokens: apos and nw
+        texts = texts.where(F.col("apos").isNotNull()).select(*by, F.col("apos").alias("start"), F.array("nw").alias("words"))
+    n = F.size("words")
+    first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + n - 1) / length)
+    own = texts.where(n > 0).withColumn("_j", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), last).cast("array<long>")))
+    a, b = F.greatest("start", F.col("_j") * length), F.least(F.col("start") + n, (F.col("_j") + 1) * length + spare)
+    own = own.where(b > a).select(*by, "_j", a.alias("_at"), F.slice("words", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("_part"))
+    own = own.groupBy(*by, "_j").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"])).alias("_words"))
     own = books.select(*by).join(own, by, "left").withColumn("_j", F.coalesce("_j", F.lit(0).cast("long")))
     # a stretch is few bytes and much work, so it is dealt by number and not by size
     own = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_j")
     dealt, n = in_blocks(items)
     blocks = dealt.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("item", "heard"))).alias("_items"))
+    blocks = F.broadcast(blocks) if n <= MOST_BLOCKS else blocks
     own = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "_b").select(*by, "_j", "_words", "_b", "_items")
     kinds = [(c, books.schema[c].dataType) for c in by] + [("item", items.schema["item"].dataType)]
     schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", cursor long, best_off long, best_score double"

@@ -84,6 +84,13 @@ def book_tokens(spark, d):
     return each.select("book_id", "doc_id", (F.col("pos") + F.col("_n")).alias("pos"), "w", "nw", (F.col("apos") + F.col("_a")).alias("apos"))
 
 
+def book_texts(spark, d):
+    """The alignable words of each text, and where they begin in its book: (book_id, start, words)."""
+    own = docs(spark, d).select(book(), "doc_id", T.words_of(F.col("text")).alias("words"))
+    before = Window.partitionBy("book_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumn("start", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("long")).select("book_id", "start", "words")
+
+
 BOOK_WORDS = f"""
 bw AS (
   SELECT book_id, unnest(ws) AS nw, unnest(range(len(ws))) AS apos

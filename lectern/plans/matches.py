@@ -96,7 +96,7 @@ def _heard_in_books(spark, d):
 def forward_match(spark, d):
     """Every item from cursors all over each book."""
     books = A.docs(spark, d).select(A.book()).distinct()
-    own = matching.forward_match_all(A.book_tokens(spark, d), books, A.heard(spark, d).withColumnRenamed("item_id", "item"), ["book_id"])
+    own = matching.forward_match_all(A.book_texts(spark, d), books, A.heard(spark, d).withColumnRenamed("item_id", "item"), ["book_id"])
     return own.select("book_id", "item", "cursor", "best_off", F.round("best_score", 9).alias("best_score"))
 
 
