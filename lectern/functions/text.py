@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the space and its hard, wide and narrow kin
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """Without spaces of any width at the ends. One argument only, as ``transform`` would give ``F.trim`` the index for what to trim."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def norm_word(word: Column) -> Column:
     """Lower case, only a-z and apostrophes, none of these at the ends."""
     return F.btrim(F.regexp_replace(F.lower(word), "[^a-z']", ""), F.lit("'"))

@@ -16,7 +16,7 @@ CUT = "\u001f"
 
 def lines(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Non-blank lines, trimmed, with their dense place ``para`` in the text."""
-    kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(text, "\n"), T.trimmed), lambda x: x != "")
     return docs.select(*key, F.posexplode(kept).alias("para", "line")).withColumn("para", F.col("para").cast("long"))
 
 

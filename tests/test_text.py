@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import governance, packaging, sentences
+from lectern.plans import catalogue
 from lectern.sources import documents as D
 
 
@@ -70,3 +75,12 @@ def test_quota_and_links(spark):
     assert [(r.k, r.violation) for r in governance.prose_quota(df, "k").orderBy("k").collect()] == [(1, True), (2, False), (3, False), (4, False)]
     lines = spark.createDataFrame([("# c",), ("",), (" http://x ",)], "value string")
     assert [r.url for r in D.link_list(lines).collect()] == ["http://x"]
+
+
+@pytest.mark.parametrize("name", ["openings"])
+def test_lines_keep_their_digits(spark, tmp_path, name):
+    """Lines that begin or end with the digits of their own place, and spaces of all widths around them."""
+    lines = [f"{i}0{i} \u00a0\u3000{i}. Aa{i}! {i}1 Bb. Cc {i}{i} " + "\u2003 " * (i % 3) for i in range(30)]
+    texts = ["\n".join([*lines, " \u00a0", "", *lines[:7]]), "1\n1\n12 http\n3", "http 1\nhttp 1"]
+    pq.write_table(pa.table({"doc_id": range(3), "text": texts, "source": ["s"] * 3, "n_chars": [len(t) for t in texts]}), tmp_path / "documents.parquet")
+    oracle.same_rows(spark, str(tmp_path), catalogue.queries()[name], catalogue.oracle_sql()[name])
