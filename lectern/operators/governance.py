@@ -39,7 +39,7 @@ def lint_lines(files: DataFrame, key: str, text: str, rules=PAGE_LINES, pragma:
 def prose_quota(files: DataFrame, key: str, text: str = "text", seconds: str | None = None) -> DataFrame:
     """Words of prose per file and whether they, or its seconds, are too many. A list of links (half of its lines or
     more are URLs) is no prose; unmeasured seconds are a violation."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), T.trimmed), lambda x: x != "")
     links = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("http"))))
     is_prose = (F.size(lines) == 0) | (links / F.size(lines) < 0.5)
     own = files.select(key, F.when(is_prose, T.prose_words(F.col(text))).otherwise(F.lit(0).cast("long")).alias("n_words"), *([seconds] if seconds else []))
