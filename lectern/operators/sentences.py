@@ -23,7 +23,7 @@ def lines(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 def pieces(paragraph):
     """A paragraph's pieces before abbreviations are joined. A bracketed block is one piece."""
     whole = F.startswith(paragraph, F.lit("[")) & F.endswith(paragraph, F.lit("]"))
-    cut = F.filter(F.transform(F.split(F.regexp_replace(paragraph, BOUNDARY, f"$1{CUT}$2"), CUT), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split(F.regexp_replace(paragraph, BOUNDARY, f"$1{CUT}$2"), CUT), T.trimmed), lambda x: x != "")
     return F.when(paragraph == "", F.array().cast("array<string>")).when(whole, F.array(paragraph)).otherwise(cut)
 
 
@@ -33,7 +33,7 @@ def sentences(paragraphs: DataFrame, key: list[str], text: str = "line") -> Data
     A piece joins its predecessor if that ends with an abbreviation. That depends on the piece before alone, so
     it is a look back within the paragraph's own array: no shuffle and no window.
     """
-    own = paragraphs.select(*key, pieces(F.trim(text)).alias("_p"))
+    own = paragraphs.select(*key, pieces(T.trimmed(F.col(text))).alias("_p"))
     last = lambda p: F.lower(F.element_at(F.filter(F.split(F.rtrim(p, F.lit(".")), r"\s+"), lambda w: w != ""), -1))
     joins = F.transform("_p", lambda p, i: (i > 0) & F.coalesce(last(F.get(F.col("_p"), i - 1)).isin(ABBREVIATIONS), F.lit(False)))
     marked = F.zip_with("_p", joins, lambda p, j: F.when(j, F.concat(F.lit(" "), p)).otherwise(F.concat(F.lit(CUT), p)))

@@ -77,7 +77,7 @@ def test_quota_and_links(spark):
     assert [r.url for r in D.link_list(lines).collect()] == ["http://x"]
 
 
-@pytest.mark.parametrize("name", ["openings", "sentence_file", "prose_quota"])
+@pytest.mark.parametrize("name", ["openings", "sentence_file", "prose_quota", "sentence_split"])
 def test_lines_keep_their_digits(spark, tmp_path, name):
     """Lines that begin or end with the digits of their own place, and spaces of all widths around them."""
     lines = [f"{i}0{i} \u00a0\u3000{i}. Aa{i}! {i}1 Bb. Cc {i}{i} " + "\u2003 " * (i % 3) for i in range(30)]
