@@ -30,6 +30,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\s+"), norm_word), lambda w: w != "")
 
 
+def normal_lines(lines: Column) -> Column:
+    """An array of lines as one text, a line each, of the words of their normal forms with a space between; apostrophes at
+    the ends of words are still there. Null without lines."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z'\s]+", ""), r"\s+", " ")
+    return F.when(F.size(lines) > 0, F.array_join(F.transform(lines, lambda x: plain(x)), "\n"))
+
+
 def alignable(text: Column) -> Column:
     """How many words have a normal form; 0 for null."""
     return F.coalesce(F.size(words_of(text)).cast("long"), F.lit(0).cast("long"))

@@ -66,13 +66,6 @@ def in_blocks(items: DataFrame, size: int = 64) -> tuple[DataFrame, int]:
     return items.withColumn("_b", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")), n
 
 
-def asked_everywhere(places: DataFrame, items: DataFrame) -> DataFrame:
-    """Every item of a stated query set at every place. They meet on the number of a block; few enough blocks are broadcast."""
-    dealt, n = in_blocks(items)
-    dealt = F.broadcast(dealt) if n <= MOST_BLOCKS else dealt
-    return places.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(dealt, "_b").drop("_b")
-
-
 def _blocks_of(items: list[dict]) -> tuple:
     """A block of items as numbers: (items, spans, words, the items of each word as offsets and places)."""
     sets = [list(dict.fromkeys(x["heard"] or [])) for x in items]
@@ -235,6 +228,94 @@ def locate(segments: DataFrame, heard: DataFrame, by: list[str], size: int = 60,
     return out.select(*by, "item", F.coalesce(F.col("_b.seg"), first).alias("seg"), F.coalesce(-F.col("_b.s"), F.lit(0.0)).alias("score"))
 
 
+def _targets(items: list[dict], size: int) -> tuple:
+    """A block of items as numbers: (items, their numbers of distinct target words, words, the items of each word as offsets and places)."""
+    own = [{"item": x["item"], "heard": (x["heard"] or [])[:size]} for x in items]
+    names, _, vocabulary, start, flat = _blocks_of(own)
+    return names, np.array([len(set(x["heard"])) for x in own], np.int64), vocabulary, start, flat
+
+
+def _words_of_lines(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of texts of ``normal_lines``: the words before each line (and after the last), all words and their lines."""
+    lines = pc.split_pattern(texts, "\n").flatten()
+    split = pc.split_pattern(lines, " ")
+    words = pc.ascii_trim(split.flatten(), "'")
+    line = np.repeat(np.arange(len(lines)), np.diff(split.offsets.to_numpy()))
+    full = pc.greater(pc.binary_length(words), 0)
+    words, line = words.filter(full), line[full.to_numpy(zero_copy_only=False)]
+    return np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(lines)))]), words, line
+
+
+def _located(before: np.ndarray, word: np.ndarray, line: np.ndarray, lo: int, hi: int, size: int, block: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The first best line of [lo, hi) of each item, and its score. word: numbers of the items' words in order of ``line``, -1 for others.
+
+    A word counts in the windows that start at the lines from one to its own; spans of one word that meet are one span, so
+    a frequent word has few of them.
+    """
+    _, targets, _, start, flat = block
+    end = int(np.searchsorted(before[:-1], before[hi - 1] + size, "left"))  # lines that windows from [lo, hi) reach
+    n = end - lo
+    a, b = np.searchsorted(line, [lo, end])
+    w = word[a:b]
+    key = np.unique(w[w >= 0].astype(np.int64) * n + (line[a:b][w >= 0] - lo))
+    w, at = key // n, key % n
+    begun = np.searchsorted(before[lo:end], before[lo:end] - size, "right")[at]
+    fresh = np.concatenate([[True], w[1:] != w[:-1]])[: len(w)]
+    prior = np.where(fresh, -1, np.concatenate([[-1], at[:-1]])[: len(w)])
+    starts = fresh | (begun > prior + 1)
+    stops = np.concatenate([starts[1:], [True]])[: len(w)]
+
+    def counts(w: np.ndarray, place: np.ndarray) -> np.ndarray:
+        times = start[w + 1] - start[w]
+        item = flat[np.repeat(start[w] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        return np.bincount(item * (n + 1) + np.repeat(place, times), minlength=len(targets) * (n + 1))
+
+    change = counts(w[starts], np.maximum(begun, prior + 1)[starts]) - counts(w[stops], at[stops] + 1)
+    found = np.cumsum(change.reshape(len(targets), n + 1)[:, : hi - lo], 1, dtype=np.int32)
+    best = found.argmax(1)
+    return lo + best, found[np.arange(len(targets)), best] / np.maximum(targets, 1)
+
+
+def locate_all(texts: DataFrame, items: DataFrame, by: list[str], est: int, stride: int | None = None, size: int = 60, margin: int = 3000) -> DataFrame:
+    """``locate`` of every item (item, a number, and heard) in every book, around the estimate ``est`` and, with a ``stride``,
+    those each stride after it whose range begins in the book: (item, est, seg, score).
+
+    texts: ``lines`` of a text as ``normal_lines`` gives them, and its ``place`` in the book. Texts travel once, as strings. Whole
+    books then meet items in blocks, and their windows are counted range by range; no hit of a word is ever a row.
+    """
+    own = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)  # few bytes, much work: dealt by number
+    own = own.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "lines"))), lambda x: x["lines"]).alias("_texts"))
+    dealt, n = in_blocks(items.select("item", F.slice("heard", 1, size).alias("heard")), 256)
+    blocks = dealt.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("item", "heard"))).alias("_items"))
+    blocks = F.broadcast(blocks) if n <= MOST_BLOCKS else blocks
+    own = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "_b").select(*by, "_texts", "_b", "_items")
+    kinds = [(c, texts.schema[c].dataType) for c in by] + [("item", items.schema["item"].dataType)]
+    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", est long, seg long, score double"
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                b = part.column(len(by) + 1)[0].as_py()
+                if b not in known:
+                    known = {b: _targets(part.column(len(by) + 2)[0].as_py(), size)} | dict([*known.items()][:15])
+                names, targets, vocabulary, _, _ = block = known[b]
+                before, words, line = _words_of_lines(part.column(len(by))[0].values)
+                word = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                total = len(before) - 1
+                ests = range(est, max(total + margin, est + 1), stride) if stride else [est]
+                for e in ests:
+                    lo, hi = max(0, e - margin), min(total, e + margin)
+                    seg, score = _located(before, word, line, lo, hi, size, block) if lo < hi else (np.full(len(names), lo), np.zeros(len(names)))
+                    seg = np.where(targets > 0, np.where(score > 0, seg, lo), e)
+                    keys = [part.column(c).take(pa.array(np.zeros(len(names), np.int64))) for c in range(len(by))]
+                    added = [pa.array(names, batch.schema.field(len(by) + 2).type.value_type.field(0).type), pa.array(np.full(len(names), e, np.int64)), pa.array(seg.astype(np.int64)), pa.array(score.astype(np.float64))]
+                    yield pa.RecordBatch.from_arrays([*keys, *added], names=[*by, "item", "est", "seg", "score"])
+
+    return own.mapInArrow(run, schema)
+
+
 def refine(chunks: DataFrame, openings: DataFrame, by: list[str], window: int, least: float = 0.3) -> DataFrame:
     """The chunk (t) with the best overlap within ``window`` of the estimate; once more within 2.2 windows if that is
     below ``least``, kept only if better. The earliest of equal ones wins."""

@@ -14,10 +14,14 @@ BOUNDARY = "([.!?…])[\"”’')\\]]*\\s+([A-Z\"“\\[‘])"
 CUT = "\u001f"
 
 
+def kept_lines(text):
+    """The non-blank lines of a text, trimmed."""
+    return F.filter(F.transform(F.split(text, "\n"), T.trimmed), lambda x: x != "")
+
+
 def lines(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Non-blank lines, trimmed, with their dense place ``para`` in the text."""
-    kept = F.filter(F.transform(F.split(text, "\n"), T.trimmed), lambda x: x != "")
-    return docs.select(*key, F.posexplode(kept).alias("para", "line")).withColumn("para", F.col("para").cast("long"))
+    return docs.select(*key, F.posexplode(kept_lines(text)).alias("para", "line")).withColumn("para", F.col("para").cast("long"))
 
 
 def pieces(paragraph):

@@ -91,6 +91,12 @@ def book_texts(spark, d):
     return own.withColumn("start", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("long")).select("book_id", "start", "words")
 
 
+def book_lines(spark, d):
+    """The texts that have lines, as lines of normal forms, in the order of ``place`` in their book: (book_id, place, lines)."""
+    own = docs(spark, d).select(book(), F.col("doc_id").alias("place"), T.normal_lines(sentences.kept_lines(F.col("text"))).alias("lines"))
+    return own.where("lines is not null")
+
+
 BOOK_WORDS = f"""
 bw AS (
   SELECT book_id, unnest(ws) AS nw, unnest(range(len(ws))) AS apos

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import drift, matching, screen, sentences
+from lectern.operators import drift, matching, screen
 from lectern.plans import adapters as A
 
 INTERVAL, WIN = 21_600_000, 3_600_000
@@ -87,12 +86,6 @@ def best_match(spark, d):
     return matching.best_match(own, A.heard(spark, d)).select("item_id", "key", F.round("score", 9).alias("score"))
 
 
-def _heard_in_books(spark, d):
-    books = A.docs(spark, d).select(A.book()).distinct()
-    heard = A.heard(spark, d).select(F.col("item_id").alias("item"), "heard")
-    return matching.asked_everywhere(books, heard)
-
-
 def forward_match(spark, d):
     """Every item from cursors all over each book."""
     books = A.docs(spark, d).select(A.book()).distinct()
@@ -110,26 +103,19 @@ def deadzone_runs(spark, d):
     return matching.deadzone_runs(own, ["book_id"])
 
 
-def _lines(spark, d):
-    lines = sentences.lines(A.docs(spark, d).select("doc_id", A.book(), "text"), ["book_id", "doc_id"])
-    own = lines.withColumn("seg", (F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id", "para")) - 1).cast("long"))
-    return own.select("book_id", "seg", T.words_of(F.col("line")).alias("words"))
+def _located(spark, d, est, stride=None):
+    heard = A.heard(spark, d).withColumnRenamed("item_id", "item")
+    return matching.locate_all(A.book_lines(spark, d), heard, ["book_id"], est, stride).withColumn("score", F.round("score", 9))
 
 
 def locate_segment(spark, d):
     """Around one estimate near the head of each book; locate_segment_all searches the rest too."""
-    asked = _heard_in_books(spark, d).withColumn("est", F.lit(200).cast("long"))
-    return matching.locate(_lines(spark, d), asked, ["book_id"]).select("book_id", "item", "seg", F.round("score", 9).alias("score"))
+    return _located(spark, d, 200).select("book_id", "item", "seg", "score")
 
 
 def locate_segment_all(spark, d):
     """Around estimates 6000 lines apart, whose ranges of 3000 lines to both sides hold each line of a book once."""
-    own = _lines(spark, d)
-    ests = own.groupBy("book_id").agg(F.max("seg").alias("_m")).select("book_id", F.explode(F.sequence(F.lit(3000).cast("long"), F.floor(F.col("_m") / 6000) * 6000 + 3000, F.lit(6000).cast("long"))).alias("est"))
-    heard = A.heard(spark, d).select(F.col("item_id").alias("item"), "heard")
-    asked = matching.asked_everywhere(ests, heard).select("book_id", F.struct("item", "est").alias("item"), "est", "heard")
-    found = matching.locate(own, asked, ["book_id"])
-    return found.select("book_id", "item.item", "item.est", "seg", F.round("score", 9).alias("score"))
+    return _located(spark, d, 3000, 6000).select("book_id", "item", "est", "seg", "score")
 
 
 def _anchors(spark, d):

@@ -2,10 +2,14 @@ from __future__ import annotations
 
 import random
 
+import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import assemble, drift, matching, timeline, validate
-from lectern.plans import matches
+from lectern.plans import catalogue, matches
 from lectern.streaming import windows as X
 
 
@@ -150,6 +154,34 @@ def test_locate_like_a_loop(spark):
     assert rows(got.withColumn("score", F.round("score", 9)), "item", "seg", "score") == want
 
 
+def test_locate_all_like_one_by_one(spark):
+    draw = random.Random(8)
+    book = {b: [" ".join(draw.choice("abcdefghij") * draw.randrange(1, 3) for _ in range(draw.randrange(0, 9))) for _ in range(n)] for b, n in (("b", 83), ("c", 1), ("d", 40))}
+    heard = [(i, " ".join(book["b"][i * 9 : i * 9 + 6]).split()) for i in range(8)] + [(20, ["zz"]), (21, [])]
+    texts = [(b, i, "\n".join(x[i : i + 7])) for b, x in book.items() for i in range(0, len(x), 7)]
+    texts = spark.createDataFrame(texts, "book_id string, place long, lines string").orderBy(F.desc("place"))
+    items = spark.createDataFrame(heard, "item long, heard array<string>")
+    seg = spark.createDataFrame([(b, i, x.split()) for b, xs in book.items() for i, x in enumerate(xs)], "book_id string, seg long, words array<string>")
+    for est, stride, margin in ((10, 20, 10), (5, None, 30), (70, None, 20)):
+        ests = {b: [est] if stride is None else [e for e in range(est, 999, stride) if e - margin < len(x)] for b, x in book.items()}
+        asked = spark.createDataFrame([(b, i * 1000 + e, e, h) for b, x in ests.items() for e in x for i, h in heard], "book_id string, item long, est long, heard array<string>")
+        want = matching.locate(seg, asked, ["book_id"], 12, margin).withColumn("score", F.round("score", 9))
+        got = matching.locate_all(texts, items, ["book_id"], est, stride, 12, margin).withColumn("score", F.round("score", 9))
+        assert rows(got.withColumn("item", F.col("item") * 1000 + F.col("est")), "book_id", "item", "seg", "score") == rows(want, "book_id", "item", "seg", "score")
+
+
+@pytest.mark.parametrize("name", ["locate_segment", "locate_segment_all"])
+def test_located_in_odd_books(spark, tmp_path, name):
+    """Books without lines, lines without words, signs whose lower case is a letter, apostrophes; and no hit of a word is a row."""
+    texts = ["12\n\n'tis \u212aing's x-ray\tit'''s ''\n 1 \nend of it", " \n\u00a0", None, "", "a\n'\n--", "\n".join(f"w{chr(97 + i % 26)} of a king" for i in range(90))]
+    keys = {"doc_id": [1, 1001, 2001, 3001, 4001, 2], "text": texts, "source": ["s", "s", "s", None, None, "s"], "n_chars": [len(t or "") for t in texts]}
+    pq.write_table(pa.table(keys), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [4, 9, 7], "text": ["'tis King's end", "wc of a king " * 30, "nothing here"]}), tmp_path / "benchmark.parquet")
+    oracle.same_rows(spark, str(tmp_path), catalogue.queries()[name], catalogue.oracle_sql()[name])
+    plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and plan.count("Join") == 1
+
+
 def test_decision(spark):
     df = spark.createDataFrame([(0, 0.1, 200, 0.9, False), (1, 0.9, 0, 0.0, False), (2, 0.1, 0, 0.2, False), (3, 0.9, 5, 0.9, True)], "i int, here double, off long, score double, force boolean")
     own = df.select("i", matching.resync_decision(*map(F.col, ("here", "off", "score", "force"))).alias("d"))
