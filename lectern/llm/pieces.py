@@ -4,8 +4,7 @@ A forward Viterbi pass over the lattice of pieces gives the best score of every
 heuristics of an A-star search from the end of the text to its start, which therefore meets complete
 segmentations in order of their score. Pieces never reach from one word into the next, so words are searched
 apart, and a text's N best come from its words' N best. ``nbest`` searches with a heap for any N. ``encode``
-needs two of each distinct word and searches many words of one length in lockstep: as the heuristics are exact, the
-first walk back never leaves the best path, and of all that it leaves open only the best entry can come second.
+needs two of each distinct word and searches many words of one length in lockstep, each with its own open list.
 """
 
 from __future__ import annotations
@@ -159,73 +158,88 @@ class Pieces:
         return score[:, :, :used], ids[:, :, :used]
 
     @staticmethod
-    def _forward(score: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For every place: the best score up to there, its last piece's length less one, and the same of the second best last piece.
-
-        Of equal ones the longest piece counts as better.
-        """
+    def _forward(score: np.ndarray) -> np.ndarray:
+        """The best score up to every place."""
         n, places, wide = score.shape
-        v, other = np.full((n, places), -np.inf), np.full((n, places), -np.inf)
-        last, last2 = np.zeros((n, places), np.int32), np.zeros((n, places), np.int32)
+        v = np.full((n, places), -np.inf)
         v[:, 0] = 0
-        rows = np.arange(n)
         for j in range(1, places):
             m = min(j, wide)
-            reach = v[:, j - m : j] + score[:, j, :m][:, ::-1]  # the longest piece first
-            k = reach.argmax(1)
-            v[:, j], last[:, j] = reach[rows, k], m - 1 - k
-            reach[rows, k] = -np.inf
-            k = reach.argmax(1)
-            other[:, j], last2[:, j] = reach[rows, k], m - 1 - k
-        return v, last, other, last2
+            v[:, j] = (v[:, j - m : j] + score[:, j, :m][:, ::-1]).max(1)
+        return v
 
     def _together(self, chars: np.ndarray) -> tuple:
         """The two best segmentations of many words of one length, by A-star in lockstep.
 
-        Returns ids in reversed order with their number, for best and second best, and both scores. The walk from the end
-        follows the best entry of the open list; of the other entries only the best is kept, and of equal ones the one that
-        came last, from which the second walk starts.
+        Every word has an open list of its own, a block of entries for each expansion with the block's best. A round takes
+        the best entry of each list, of equal ones the one that came last, and expands it; one at the start of the
+        word is a complete segmentation. Returns ids with their number, for best and second best, and both scores.
         """
         n, size = chars.shape
         score, ids = self._lattice(chars)
-        v, last, other, last2 = self._forward(score)
-        rows = np.arange(n)
-        first, second = np.full((n, size), -2, np.int32), np.full((n, size), -2, np.int32)
-        count, count2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        g, best, leave = np.zeros(n), np.full(n, -np.inf), np.zeros(n, np.int64)
-        pos, live = np.full(n, size), rows
-        while len(live):
-            p = pos[live]
-            open_ = g[live] + other[live, p]
-            better = (open_ >= best[live]) & (open_ > -np.inf)
-            at = live[better]
-            best[at], leave[at], count2[at] = open_[better], p[better], count[at]
-            k = last[live, p]
-            first[live, count[live]] = ids[live, p, k]
-            g[live] += score[live, p, k]
-            count[live] += 1
-            pos[live] = p - k - 1
-            live = live[pos[live] > 0]
-        live = np.flatnonzero(best > -np.inf)
-        for r, c in ((live[count2[live] == c], c) for c in np.unique(count2[live]).tolist()):
-            second[r, :c] = first[r, :c]
-        p = leave[live]
-        k = last2[live, p]
+        v, wide = self._forward(score), score.shape[2]
+        back = np.arange(wide)
+        opened, pos, cost, parent, via = [], [], [], [], []  # by expansion: bounds of its entries, place, score so far, the entry taken
+        top = np.full((8, n), -np.inf)
+        out = [(np.full((n, size), -2, np.int32), np.zeros(n, np.int64), np.full(n, -np.inf)) for _ in range(2)]
+        found = np.zeros(n, np.int64)
+        live = grown = np.arange(n)
+        at, g, by, k = np.full(n, size), np.zeros(n), np.full(n, -1), np.full(n, -1)
         while len(live):
-            second[live, count2[live]] = ids[live, p, k]
-            count2[live] += 1
-            p = p - k - 1
-            going = p > 0
-            live, p = live[going], p[going]
-            k = last[live, p]
-        return first, count, second, count2, v[:, size], best
+            r = len(opened)
+            for table, value, kind in ((pos, at, np.int64), (cost, g, float), (parent, by, np.int64), (via, k, np.int64)):
+                table.append(np.zeros(n, kind))
+                table[r][grown] = value
+            before = at[:, None] - back - 1
+            bound = g[:, None] + score[grown, at] + v[grown[:, None], np.maximum(before, 0)]
+            bound[before < 0] = -np.inf
+            opened.append(np.full((n, wide), -np.inf))
+            opened[r][grown] = bound
+            if r == len(top):
+                top = np.concatenate([top, np.full_like(top, -np.inf)])
+            top[r, grown] = bound.max(1, initial=-np.inf)
+            by = r - top[r::-1, live].argmax(0)
+            f = top[by, live]
+            live, by, f = live[f > -np.inf], by[f > -np.inf], f[f > -np.inf]
+            at, g, k = np.zeros(len(live), np.int64), np.zeros(len(live)), np.zeros(len(live), np.int64)
+            for x in np.unique(by).tolist():
+                i = np.flatnonzero(by == x)
+                w = live[i]
+                own = opened[x][w]
+                k[i] = wide - 1 - own[:, ::-1].argmax(1)
+                own[np.arange(len(i)), k[i]] = -np.inf
+                opened[x][w], top[x, w] = own, own.max(1)
+                at[i] = pos[x][w] - k[i] - 1
+                g[i] = cost[x][w] + score[w, pos[x][w], k[i]]
+            done = at == 0
+            for rank in (0, 1):
+                i = np.flatnonzero(done & (found[live] == rank))
+                self._trace(out[rank], live[i], by[i], k[i], f[i], ids, pos, parent, via)
+            found[live[done]] += 1
+            grown, at, g, by, k = live[~done], at[~done], g[~done], by[~done], k[~done]
+            live = live[found[live] < 2]
+        (first, count, best), (second, count2, next_best) = out
+        return first, count, second, count2, best, next_best
+
+    @staticmethod
+    def _trace(out: tuple, words: np.ndarray, by: np.ndarray, k: np.ndarray, f: np.ndarray, ids: np.ndarray, pos: list, parent: list, via: list) -> None:
+        """Put down complete segmentations, from the entry that reached the start of a word up to the word's end."""
+        into, count, total = out
+        total[words] = f
+        pos, parent, via = (np.stack(x) for x in (pos, parent, via)) if len(words) else (pos, parent, via)
+        while len(words):
+            into[words, count[words]] = ids[words, pos[by, words], k]
+            count[words] += 1
+            by, k = parent[by, words], via[by, words]
+            going = by >= 0
+            words, by, k = words[going], by[going], k[going]
 
     def search(self, word: str, best: int) -> list[tuple[list[int], float]]:
         """A-star with a heap: the ``best`` best segmentations of one word as ids, best first, with their scores."""
         inner = word.replace(" ", SPACE)
         size = len(inner)
         score, ids = self._lattice(self._chars([inner], size))
-        v, score, ids = self._forward(score)[0][0], score[0], ids[0]
+        v, score, ids = self._forward(score)[0], score[0], ids[0]
         heap, count = [(-v[size], 0, size, 0.0, None)], 0
         out = []
         while heap and len(out) < best:
@@ -247,12 +261,12 @@ class Pieces:
         """The character's bytes, if the vocabulary has them."""
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
 
-    def _in_order(self, reversed_ids: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Ids from start to end, with the fallback of characters without a piece."""
-        if reversed_ids.min(initial=0) >= 0:
-            return reversed_ids[::-1]
+    def _filled(self, ids: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Ids with the fallback of characters without a piece."""
+        if ids.min(initial=0) >= 0:
+            return ids
         out, at = [], 0
-        for i in reversed_ids[::-1].tolist():
+        for i in ids.tolist():
             out += [i] if i >= 0 else self._fallback(chr(chars[at]))
             at += len(self.names[i]) if i >= 0 else 1
         return np.array(out)
@@ -277,14 +291,13 @@ class Pieces:
                 for name, ids, n in (("", first, count), ("2", second, count2)):
                     n = np.where(plain, n, 0)
                     inside = np.arange(size) < n[:, None]
-                    back = np.where(inside, n[:, None] - 1 - np.arange(size), 0)
-                    at = own.put(np.take_along_axis(ids, back, 1)[inside])
+                    at = own.put(ids[inside])
                     places |= {f"at{name}": at + np.cumsum(n) - n, f"count{name}": n}
                 numbers = own.extend(part, places | {"best": best, "loss": best - next_best, "exact": True})
                 for i in np.flatnonzero(~plain).tolist():
                     k = numbers[i]
                     for ids, n, at, size_of in ((first, count, own.at, own.count), (second, count2, own.at2, own.count2)):
-                        x = self._in_order(ids[i, : n[i]], chars[i])
+                        x = self._filled(ids[i, : n[i]], chars[i])
                         at[k], size_of[k] = own.put(x), len(x)
                 for k, x, w in zip(numbers, inner, part, strict=True):
                     ids = own.ids[own.at[k] : own.at[k] + own.count[k]].tolist()

@@ -560,6 +560,25 @@ def test_two_best_are_those_of_the_heap():
             assert known.loss[k] == np.inf
 
 
+def test_open_lists_hold_what_loose_bounds_pass_by(monkeypatch):
+    """A-star finds the two best under any bound that is never too low; a walk along the best bounds would not."""
+    exact, draw = pieces.Pieces(pieces.model_path()), np.random.default_rng(3)
+    words = sorted({" " + "".join(draw.choice(list("aeinrstlod"), n)) for n in (1, 4, 7, 9) for _ in range(40)})
+    exact.solve(words)
+    forward = pieces.Pieces._forward
+
+    def loose(score):
+        v = forward(score)
+        return v + np.where(np.arange(v.shape[1]) > 0, draw.integers(0, 40_000, v.shape), 0)
+
+    monkeypatch.setattr(pieces.Pieces, "_forward", staticmethod(loose))
+    own = pieces.Pieces(pieces.model_path())
+    own.solve(words)
+    for w in words:
+        a, b = exact.solved.number[w], own.solved.number[w]
+        assert (exact.solved.best[a], exact.solved.loss[a]) == (own.solved.best[b], own.solved.loss[b])
+
+
 def test_pieces_odd_rows(odd, empty):
     own = pieces.encode(odd, pieces.model_path(), with_ids=True).collect()
     assert all(r.round_trip and r.n_pieces == len(r.ids) and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in own)
