@@ -22,9 +22,9 @@ from lectern.llm import common
 
 SPACE = "▁"
 PENALTY = 10.0  # a character without a piece scores so much below the lowest piece
-KEPT = 200_000  # distinct words a task remembers; it starts anew beyond that
+KEPT = 600_000  # distinct words a task remembers; it starts anew beyond that
 CELLS = 1_000_000  # lattice entries at once
-TEXT = 1_000_000  # characters that are encoded at once
+TEXT = 4_000_000  # characters that are encoded at once
 UNIT = re.compile(" *[^ ]+| +")
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +80,9 @@ class Pieces:
         score = np.array([own.get_score(i) for i in range(n)])
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(n) if own.is_byte(i)}
         self.unknown = own.unk_id()
+        letters = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in self.names]
+        self.sizes = np.array([len(x) for x in letters])  # of all names, one after the other
+        self.begins, self.letters = np.cumsum(self.sizes) - self.sizes, np.concatenate(letters)
         self.longest = max(len(self.names[i]) for i in plain)
         self.apart = not any(SPACE in self.names[i].lstrip(SPACE) for i in plain)
         hashes, ids, begun = [], [], np.zeros(1 << 22, bool)
@@ -178,61 +181,60 @@ class Pieces:
         n, size = chars.shape
         score, ids = self._lattice(chars)
         v, wide = self._forward(score), score.shape[2]
-        back = np.arange(wide)
-        opened, pos, cost, parent, via = [], [], [], [], []  # by expansion: bounds of its entries, place, score so far, the entry taken
-        top = np.full((8, n), -np.inf)
-        out = [(np.full((n, size), -2, np.int32), np.zeros(n, np.int64), np.full(n, -np.inf)) for _ in range(2)]
+        ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full((n, wide), -np.inf), v], 1), wide, 1)[:, :, ::-1]  # the scores before each place, nearest first
+        room = 8
+        bounds, top = np.empty((room, n, wide)), np.empty((room, n))  # by expansion: its entries and the best of them
+        pos, cost, parent, via = (np.empty((room, n), t) for t in (np.int64, float, np.int64, np.int64))  # its place, score so far, the entry taken
+        ends = [(np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)) for _ in range(2)]
         found = np.zeros(n, np.int64)
         live = grown = np.arange(n)
         at, g, by, k = np.full(n, size), np.zeros(n), np.full(n, -1), np.full(n, -1)
+        r = 0
         while len(live):
-            r = len(opened)
-            for table, value, kind in ((pos, at, np.int64), (cost, g, float), (parent, by, np.int64), (via, k, np.int64)):
-                table.append(np.zeros(n, kind))
-                table[r][grown] = value
-            before = at[:, None] - back - 1
-            bound = g[:, None] + score[grown, at] + v[grown[:, None], np.maximum(before, 0)]
-            bound[before < 0] = -np.inf
-            opened.append(np.full((n, wide), -np.inf))
-            opened[r][grown] = bound
-            if r == len(top):
-                top = np.concatenate([top, np.full_like(top, -np.inf)])
+            if r == room:
+                room *= 2
+                bounds, top, pos, cost, parent, via = (np.concatenate([x, np.empty_like(x)]) for x in (bounds, top, pos, cost, parent, via))
+            pos[r, grown], cost[r, grown], parent[r, grown], via[r, grown] = at, g, by, k
+            bound = g[:, None] + score[grown, at] + ahead[grown, at]
+            bounds[r, grown] = bound
+            top[r] = -np.inf
             top[r, grown] = bound.max(1, initial=-np.inf)
             by = r - top[r::-1, live].argmax(0)
             f = top[by, live]
-            live, by, f = live[f > -np.inf], by[f > -np.inf], f[f > -np.inf]
-            at, g, k = np.zeros(len(live), np.int64), np.zeros(len(live)), np.zeros(len(live), np.int64)
-            for x in np.unique(by).tolist():
-                i = np.flatnonzero(by == x)
-                w = live[i]
-                own = opened[x][w]
-                k[i] = wide - 1 - own[:, ::-1].argmax(1)
-                own[np.arange(len(i)), k[i]] = -np.inf
-                opened[x][w], top[x, w] = own, own.max(1)
-                at[i] = pos[x][w] - k[i] - 1
-                g[i] = cost[x][w] + score[w, pos[x][w], k[i]]
+            left = f > -np.inf
+            live, by, f = live[left], by[left], f[left]
+            own = bounds[by, live]
+            k = wide - 1 - own[:, ::-1].argmax(1)
+            own[np.arange(len(live)), k] = -np.inf
+            bounds[by, live], top[by, live] = own, own.max(1, initial=-np.inf)
+            place = pos[by, live]
+            at, g = place - k - 1, cost[by, live] + score[live, place, k]
             done = at == 0
             for rank in (0, 1):
                 i = np.flatnonzero(done & (found[live] == rank))
-                self._trace(out[rank], live[i], by[i], k[i], f[i], ids, pos, parent, via)
+                for table, value in zip(ends[rank], (by, k, f), strict=True):
+                    table[live[i]] = value[i]
             found[live[done]] += 1
             grown, at, g, by, k = live[~done], at[~done], g[~done], by[~done], k[~done]
             live = live[found[live] < 2]
-        (first, count, best), (second, count2, next_best) = out
-        return first, count, second, count2, best, next_best
+            r += 1
+        first, count = self._traced(ends[0], found > 0, ids, pos, parent, via)
+        second, count2 = self._traced(ends[1], found > 1, ids, pos, parent, via)
+        return first, count, second, count2, ends[0][2], ends[1][2]
 
     @staticmethod
-    def _trace(out: tuple, words: np.ndarray, by: np.ndarray, k: np.ndarray, f: np.ndarray, ids: np.ndarray, pos: list, parent: list, via: list) -> None:
-        """Put down complete segmentations, from the entry that reached the start of a word up to the word's end."""
-        into, count, total = out
-        total[words] = f
-        pos, parent, via = (np.stack(x) for x in (pos, parent, via)) if len(words) else (pos, parent, via)
+    def _traced(end: tuple, met: np.ndarray, ids: np.ndarray, pos: np.ndarray, parent: np.ndarray, via: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of complete segmentations, from the entry that reached the start of a word up to the word's end."""
+        into, count = np.full((len(met), ids.shape[1] - 1), -2, np.int32), np.zeros(len(met), np.int64)
+        words = np.flatnonzero(met)
+        by, k = end[0][words], end[1][words]
         while len(words):
             into[words, count[words]] = ids[words, pos[by, words], k]
             count[words] += 1
             by, k = parent[by, words], via[by, words]
             going = by >= 0
             words, by, k = words[going], by[going], k[going]
+        return into, count
 
     def search(self, word: str, best: int) -> list[tuple[list[int], float]]:
         """A-star with a heap: the ``best`` best segmentations of one word as ids, best first, with their scores."""
@@ -261,20 +263,37 @@ class Pieces:
         """The character's bytes, if the vocabulary has them."""
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
 
-    def _filled(self, ids: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Ids with the fallback of characters without a piece."""
-        if ids.min(initial=0) >= 0:
-            return ids
-        out, at = [], 0
-        for i in ids.tolist():
-            out += [i] if i >= 0 else self._fallback(chr(chars[at]))
-            at += len(self.names[i]) if i >= 0 else 1
-        return np.array(out)
+    def _filled(self, ids: np.ndarray, count: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of ids, ``count`` a word and covering its ``chars``, with the fallback of characters without a piece; and their numbers."""
+        gaps = np.flatnonzero(ids < 0)
+        if not len(gaps):
+            return ids, count
+        sizes = np.where(ids < 0, 1, self.sizes[ids])
+        missing, kind = np.unique(chars[count > 0].ravel()[(np.cumsum(sizes) - sizes)[gaps]], return_inverse=True)
+        instead = [self._fallback(chr(c)) for c in missing.tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[gaps] = np.array([len(x) for x in instead])[kind]
+        out = np.repeat(ids, times)
+        out[out < 0] = [i for j in kind.tolist() for i in instead[j]]
+        edge = np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], np.cumsum(count)])]
+        return out, np.diff(edge)
+
+    def _given_back(self, ids: np.ndarray, count: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Which words the names of their ids, ``count`` a word, spell as they are."""
+        n, size = chars.shape
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        same = np.diff(ends[np.concatenate([[0], np.cumsum(count)])]) == size
+        of = np.repeat(same, count)
+        ids, sizes = ids[of], sizes[of]
+        spelt = self.letters[np.repeat(self.begins[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        same[same] = (spelt.reshape(-1, size) == chars[same]).all(1)
+        return same
 
     def solve(self, words: list[str]) -> None:
         """Add the two best segmentations of words (with their leading spaces) to those remembered."""
         by: dict[int, list[str]] = {}
-        names, own = self.names, self.solved
+        own = self.solved
         for w in words:
             by.setdefault(len(w), []).append(w)
         for size, group in by.items():
@@ -284,28 +303,19 @@ class Pieces:
                 inner = [w.replace(" ", SPACE) for w in part]
                 chars = self._chars(inner, size)
                 first, count, second, count2, best, next_best = self._together(chars)
-                plain = np.ones(len(part), bool)
-                for ids, n in ((first, count), (second, count2)):
-                    plain &= ~((ids == -1) & (np.arange(size) < n[:, None])).any(1)
                 places = {}
                 for name, ids, n in (("", first, count), ("2", second, count2)):
-                    n = np.where(plain, n, 0)
-                    inside = np.arange(size) < n[:, None]
-                    at = own.put(ids[inside])
+                    x, n = self._filled(ids[np.arange(size) < n[:, None]], n, chars)
+                    at = own.put(x)
                     places |= {f"at{name}": at + np.cumsum(n) - n, f"count{name}": n}
+                    same = self._given_back(x, n, chars) if not name else same
                 numbers = own.extend(part, places | {"best": best, "loss": best - next_best, "exact": True})
-                for i in np.flatnonzero(~plain).tolist():
+                for i in np.flatnonzero(~same).tolist():  # byte pieces, for one
                     k = numbers[i]
-                    for ids, n, at, size_of in ((first, count, own.at, own.count), (second, count2, own.at2, own.count2)):
-                        x = self._filled(ids[i, : n[i]], chars[i])
-                        at[k], size_of[k] = own.put(x), len(x)
-                for k, x, w in zip(numbers, inner, part, strict=True):
-                    ids = own.ids[own.at[k] : own.at[k] + own.count[k]].tolist()
-                    if "".join([names[i] for i in ids]) != x:  # byte pieces, for one
-                        text = self._surface(ids)
-                        own.exact[k] = text == w
-                        if text != w:
-                            own.surface[k] = text
+                    text = self._surface(own.ids[own.at[k] : own.at[k] + own.count[k]].tolist())
+                    own.exact[k] = text == part[i]
+                    if text != part[i]:
+                        own.surface[k] = text
 
     def _surface(self, ids: list[int]) -> str:
         raw = bytearray()
