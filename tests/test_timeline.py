@@ -182,6 +182,13 @@ def test_located_in_odd_books(spark, tmp_path, name):
     assert "MapInArrow" in plan and "Window" not in plan and plan.count("Join") == 1
 
 
+@pytest.mark.parametrize("name", ["locate_segment", "locate_segment_all"])
+def test_located_texts_are_shuffled_once(spark, small, name):
+    """A book's texts meet in one exchange; beside it only the items' blocks are dealt, and nothing is sorted on disk."""
+    plan = catalogue.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(book_id") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Sort " not in plan
+
+
 def test_decision(spark):
     df = spark.createDataFrame([(0, 0.1, 200, 0.9, False), (1, 0.9, 0, 0.0, False), (2, 0.1, 0, 0.2, False), (3, 0.9, 5, 0.9, True)], "i int, here double, off long, score double, force boolean")
     own = df.select("i", matching.resync_decision(*map(F.col, ("here", "off", "score", "force"))).alias("d"))
